@@ -19,8 +19,10 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f¡-įı-ɏ‐-‧‰-›]*")
 # Where texts are lower-cased first, only letters whose lower case lies in the same range.
 _PLAIN_WORD = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f¡-įı-ſ‐-‧‰-›]*")
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE = re.compile(rf"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-_WORD = re.compile(rf"{_SHORT}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+# Words come first: no short form starts like one.
+_BYTE = re.compile(rf" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_WORD = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^\s{_L}{_N}]+")
+_BLANK_WORD = re.compile(rf" [{_L}]+").fullmatch
 
 CACHE_ENTRIES = 600_000
 _CODECS: dict[tuple, Codec] = {}
@@ -49,9 +51,8 @@ class Codec:
         self.width = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.plain = (_PLAIN_WORD if kind == "word" else _PLAIN).fullmatch
         vocab = self.tok.get_vocab()
-        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        if kind == "word":
-            self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.mark = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.mark[[i for w, i in vocab.items() if (w.endswith("</w>") if kind == "word" else w.startswith("\u0120"))]] = True
         self.pinned: dict = {}
         self.cache: dict = {}
 
@@ -66,39 +67,57 @@ class Codec:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, words: list[str]) -> list:
-        """Ids of each pre-token. Words whose last token is marked as such are encoded joined, which is faster."""
+    def parts(self, words: list[str]) -> list[bytes]:
+        """Ids of each pre-token, as bytes.
+
+        Most are encoded joined, which is faster, and cut where a token is marked as a word's last, or as the first of a
+        word after a blank. Where the cuts don't fit, each is encoded by itself.
+        """
         if self.kind == "word":
-            ids = np.array(self.whole([" ".join(words)])[0], self.width)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(words):
-                return np.split(ids, ends[:-1])
-        return self.whole(words)
-
-    def fill(self, splits: list, value) -> dict:
-        """Make sure that every pre-token of the batch is in the cache; value makes an entry from ids."""
-        need = set()
+            return self._joined(words, " ", last=True)
+        plain = [w for w in words if _BLANK_WORD(w)]
+        rest = [w for w in words if not _BLANK_WORD(w)]
+        words[:] = plain + rest
+        return self._joined(plain, "", last=False) + self._each(rest)
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids, self.width).tobytes() for ids in self.whole(words)]
+
+    def _joined(self, words: list[str], by: str, last: bool) -> list[bytes]:
+        ids = np.array(self.whole([by.join(words)])[0], self.width)
+        cuts = np.flatnonzero(self.mark[ids])
+        if len(cuts) != len(words):
+            return self._each(words)
+        data, size = ids.tobytes(), self.width.itemsize
+        ends = ((cuts + 1) * size if last else np.append(cuts[1:], len(ids)) * size).tolist()
+        return [data[p:q] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def fill(self, splits: list, count: bool = False) -> dict:
+        """Make sure that every pre-token of the batch is in the cache: with its ids, or only their number."""
+        need: set[str] = set()
         for words in splits:
             if words:
                 need.update(words)
-        miss = [w for w in need if w not in self.cache]
+        miss = list(need.difference(self.cache))
         if miss and len(self.cache) + len(miss) > self.limit + len(self.pinned):
             self.cache = dict(self.pinned)
-            miss = [w for w in need if w not in self.cache]
+            miss = list(need.difference(self.cache))
+        size = self.width.itemsize
         for i in range(0, len(miss), 2_000):
             part = miss[i : i + 2_000]
-            self.cache.update(zip(part, map(value, self.parts(part)), strict=True))
+            got = self.parts(part)
+            self.cache.update(zip(part, (len(x) // size for x in got) if count else got, strict=True))
         return self.cache
 
     def counts(self, texts: list[str]) -> list[int]:
         splits = [self.split(t) for t in texts]
-        get = self.fill(splits, len).__getitem__
+        get = self.fill(splits, count=True).__getitem__
         return [sum(map(get, w)) if w is not None else len(self.whole([t])[0]) for w, t in zip(splits, texts, strict=True)]
 
     def ids(self, texts: list[str]):
         """An array of ids for each text, one at a time."""
         splits = [self.split(t) for t in texts]
-        get = self.fill(splits, lambda ids: np.asarray(ids, self.width).tobytes()).__getitem__
+        get = self.fill(splits).__getitem__
         for w, t in zip(splits, texts, strict=True):
             yield np.frombuffer(b"".join(map(get, w)), self.width) if w is not None else np.array(self.whole([t])[0], self.width)
 

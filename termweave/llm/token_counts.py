@@ -22,28 +22,31 @@ from .common import column_of, small_batches, with_text
 
 #: At most so many pre-tokens are broadcast, of at most so many characters each: a proven bound of a few MB.
 FREQUENT, LONGEST = 30_000, 32
-#: About so many documents warm the table of frequent pre-tokens.
-WARM_DOCS = 2_000
+#: A task that counts pre-tokens holds at most so many and then keeps the more frequent half.
+HELD = 400_000
 
 
-def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT, warm_docs: int = WARM_DOCS) -> tuple[bytes, bytes]:
-    """The frequent pre-tokens of a bounded sample and their lengths: words joined by NUL, and one byte for each."""
+def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT) -> tuple[bytes, bytes]:
+    """The frequent pre-tokens of all texts and their lengths: words joined by NUL, and one byte for each.
+
+    Each task counts what it reads and hands on its `size` most frequent pre-tokens.
+    """
     kind = kind_of(tokenizer)
     if kind == "whole":
         return b"", b""
-    total = texts.count()
-    share = min(1.0, warm_docs / max(total, 1))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def count(batches):
         c, seen = codec(tokenizer, kind, "count"), Counter()
         for b in batches:
             for t in column_of(b, "text").to_pylist():
-                seen.update(w for w in c.split(t) or () if len(w) <= LONGEST and "\0" not in w)
-        top = heapq.nlargest(size, seen.items(), key=lambda x: (x[1], x[0]))
+                seen.update(c.split(t) or ())
+            if len(seen) > HELD:
+                seen = Counter(dict(seen.most_common(HELD // 2)))
+        fit = ((w, n) for w, n in seen.items() if len(w) <= LONGEST and "\0" not in w)
+        top = heapq.nlargest(size, fit, key=lambda x: (x[1], x[0]))
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    top = sample.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = [r.word for r in top.orderBy(F.desc("n"), "word").limit(size).collect()]
     lengths = [len(ids) for ids in codec(tokenizer, kind, "driver").whole(words)]
     kept = [(w, n) for w, n in zip(words, lengths, strict=True) if n < 256]
