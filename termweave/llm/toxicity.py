@@ -52,8 +52,13 @@ def sentences(text: str):
         yield start, end, words
 
 
-def _chosen(rows: DataFrame, size: int) -> list[str]:
-    """The features that tell the labels apart best, by the log-likelihood ratio of their document counts."""
+#: A feature starts with this share of its log odds: a word has several features, which add up.
+START = 0.5
+
+
+def _chosen(rows: DataFrame, size: int) -> list[tuple[str, float]]:
+    """The features that tell the labels apart best, by the log-likelihood ratio of their document counts, and the
+    weight that each starts from: a share of its log odds, where they speak for toxic."""
 
     def run(batches):
         seen: dict[str, list[int]] = {}
@@ -69,16 +74,20 @@ def _chosen(rows: DataFrame, size: int) -> list[str]:
     counts = rows.select("y", "text").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
     p, q = (F.col("b") + 0.5) / (n1 + 1), (F.col("a") + 0.5) / (n - n1 + 1)
     worth = F.abs(F.col("b") * F.log(p / q) + (n1 - F.col("b")) * F.log((1 - p) / (1 - q)))
-    best = counts.where(F.col("a") + F.col("b") >= 3).orderBy(F.desc(worth), "feature").limit(size).select("feature")
-    return [r.feature for r in best.collect()]
+    best = counts.where(F.col("a") + F.col("b") >= 3).orderBy(F.desc(worth), "feature").limit(size)
+    return [(r.feature, START * max(r.odds, 0.0)) for r in best.select("feature", F.log(p / q).alias("odds")).collect()]
+
 
+def fit(bags: list[list[list[int]]], y: np.ndarray, start: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias; bags: for each document the feature numbers of each of its sentences.
 
-def fit(bags: list[list[list[int]]], y: np.ndarray, width: int, steps: int = 300, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias; bags: for each document the feature numbers of each of its sentences."""
+    Weights are drawn to where they start: a word whose documents others explain as well keeps its weight.
+    """
+    width = len(start)
     bag_of = np.array([i for i, bag in enumerate(bags) for _ in bag], np.int64)
     sent = [s for bag in bags for s in bag]
     rows, cols = np.repeat(np.arange(len(sent)), [len(s) for s in sent]), np.array([f for s in sent for f in s], np.int64)
-    w, bias, n = np.zeros(width), -4.0, len(bags)
+    w, bias, n = start.copy(), -7.0, len(bags)
     mean, square, step = np.zeros(width + 1), np.zeros(width + 1), 0
     for _ in range(steps if len(sent) else 0):
         z = np.clip(bias + np.bincount(rows, w[cols], len(sent)), -30, 30)
@@ -89,7 +98,7 @@ def fit(bags: list[list[list[int]]], y: np.ndarray, width: int, steps: int = 300
         # d log-likelihood / d z of a sentence: p for toxic bags times the odds of none, -p for others
         pull = np.where(y > 0.5, np.exp(none) / some, -1.0)
         d = pull[bag_of] * p / n
-        grad = np.append(np.bincount(cols, d[rows], width) - decay * w, d.sum())
+        grad = np.append(np.bincount(cols, d[rows], width) - decay * (w - start), d.sum())
         step += 1
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -100,7 +109,8 @@ def fit(bags: list[list[list[int]]], y: np.ndarray, width: int, steps: int = 300
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAIN, size: int = FEATURES) -> tuple[dict[str, float], float]:
     """A weight for each chosen feature, and the bias of a sentence."""
     rows = with_text(docs).join(F.broadcast(training_ids(labels, label, most)), "doc_id")
-    number = {f: i for i, f in enumerate(_chosen(rows, size))}
+    chosen = _chosen(rows, size)
+    number = {f: i for i, (f, _) in enumerate(chosen)}
 
     def run(batches):
         for b in batches:
@@ -109,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, bag array<array<int>>").toArrow().sort_by("doc_id")
     y = (got.column("y").to_numpy() >= 0.5).astype(float)
-    w, bias = fit(got.column("bag").to_pylist(), y, len(number))
+    w, bias = fit(got.column("bag").to_pylist(), y, np.array([x for _, x in chosen]))
     return {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, bias
 
 
