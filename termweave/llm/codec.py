@@ -25,6 +25,8 @@ _WORD = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^\s{_L}{_N}]+")
 _BLANK_WORD = re.compile(rf" [{_L}]+").fullmatch
 
 CACHE_ENTRIES = 600_000
+#: So many pre-tokens are encoded as one text.
+JOINED = 500
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -75,8 +77,9 @@ class Codec:
         """
         if self.kind == "word":
             return self._joined(words, " ", last=True)
-        plain = [w for w in words if _BLANK_WORD(w)]
-        rest = [w for w in words if not _BLANK_WORD(w)]
+        plain, rest = [], []
+        for w in words:
+            (plain if _BLANK_WORD(w) else rest).append(w)
         words[:] = plain + rest
         return self._joined(plain, "", last=False) + self._each(rest)
 
@@ -103,8 +106,8 @@ class Codec:
             self.cache = dict(self.pinned)
             miss = list(need.difference(self.cache))
         size = self.width.itemsize
-        for i in range(0, len(miss), 2_000):
-            part = miss[i : i + 2_000]
+        for i in range(0, len(miss), JOINED):
+            part = miss[i : i + JOINED]
             got = self.parts(part)
             self.cache.update(zip(part, (len(x) // size for x in got) if count else got, strict=True))
         return self.cache
