@@ -21,15 +21,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay in one of them; texts are rewritten, every document stays."""
-    kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5, extra=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    new = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return kept.withColumns(new).select(*docs.columns)
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5, extra=extra)
+    put = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(f"extra.f{k}") for k, c in enumerate(extra)}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[put[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

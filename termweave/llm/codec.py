@@ -89,7 +89,7 @@ class Codec:
     def _joined(self, words: list[str], by: str, last: bool) -> list[bytes]:
         ids = np.array(self.whole([by.join(words)])[0], self.width)
         cuts = np.flatnonzero(self.mark[ids])
-        if len(cuts) != len(words):
+        if not words or len(cuts) != len(words):
             return self._each(words)
         data, size = ids.tobytes(), self.width.itemsize
         ends = ((cuts + 1) * size if last else np.append(cuts[1:], len(ids)) * size).tolist()

@@ -69,7 +69,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         hits = found.join(F.broadcast(keys), "key").join(F.broadcast(items), "item_id").withColumn("shift", F.col("at") - F.col("j"))
     else:
         near = found.select("doc_id", "at", "key").join(keys, "key").select("doc_id", "item_id", (F.col("at") - F.col("j")).alias("shift")).distinct()
-        hits = near.join(texts, "doc_id").join(items, "item_id")
+        hits = near.join(texts.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).join(items, "item_id")
     o = hits.withColumn("o", _overlap(F.col("h"), F.col("b"), F.col("shift"))).withColumn("need", F.least(F.lit(NEED), F.ceil(F.size("b") * 0.7)))
     good = o.where(F.col("o.best") >= F.col("need")).select("doc_id", "item_id", F.struct(F.col("o.best").alias("score"), (-F.col("o.end")).alias("last"), F.col("o.long").alias("long")).alias("x"))
     best = good.groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
@@ -82,4 +82,4 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
 
     bad = persist(find_leaks(docs, benchmark, id_col=id_col).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     side = F.broadcast(bad) if bad.count() <= BROADCAST_PAIRS else bad
-    return docs.join(side, docs[id_col] == side["_leak"], "left_anti")
+    return docs.join(side, docs[id_col].eqNullSafe(side["_leak"]), "left_anti")

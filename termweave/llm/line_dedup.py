@@ -6,8 +6,8 @@ a sorted run. When a level has `fanout` runs they are compacted: equal keys add
 settled (with batches in falling order, the largest doc_id is known by then), the others form one run of the next level.
 A last compaction merges all levels. Runs are written tables in the shared folder.
 
-Defined results: null or empty text is one empty line; each row is a document (repeated rows of a doc_id count each, and
-all of them keep a line whose largest doc_id is theirs); a key repeated within a document counts once and either keeps or
+Defined results: null or empty text is one empty line; repeated rows of a doc_id count as one document, and all of them
+keep a line whose largest doc_id is theirs; a row without doc_id keeps all its lines and doesn't count; a key repeated within a document counts once and either keeps or
 loses all its lines there; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -39,8 +39,8 @@ class LineRuns:
         self.settled: list[DataFrame] = []
 
     def add(self, lines: DataFrame) -> None:
-        """lines: (line, doc_id), each line once for each document of this batch."""
-        run = lines.groupBy("line").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        """lines: (line, doc_id) of this batch; all rows of a doc_id are in one batch."""
+        run = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         for done in self.settled:
             run = run.join(done.select("line").hint("merge"), "line", "left_anti")
         self._put(0, persist(run, "line-run", sort_by=("line",)))
@@ -60,7 +60,7 @@ class LineRuns:
         both = persist(merged.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")), "line-run", sort_by=("line",))
         for r in runs:
             drop_table(r)
-        self.settled.append(both.where(F.col("n_docs") >= self.min_docs))
+        self.settled.append(persist(both.where(F.col("n_docs") >= self.min_docs), "settled-run"))
         return both.where(F.col("n_docs") < self.min_docs)
 
     def finish(self) -> DataFrame:
@@ -84,7 +84,8 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """doc_id, text, kept_text, n_lines, n_dropped for every row, and the columns named in extra."""
+    """doc_id, text, kept_text, n_lines, n_dropped for every row, and the columns named in extra as a struct f0, f1, ...
+    (so that no name can clash)."""
     spark, texts = docs.sparkSession, with_text(docs, id_col, text_col)
     bounds = sorted(set(texts.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
     batch = sum((F.when(F.col("doc_id") < b, 1).otherwise(0) for b in bounds), F.lit(0))
@@ -108,4 +109,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     both = left.join(dropped, ["doc_id", "text_hash"], "left").withColumn("lines", F.split("text", "\n", -1))
     index = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(index, lambda i: F.get(F.col("lines"), i)), "\n"))
-    return both.select("doc_id", "text", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), *[F.col(f"_extra{k}").alias(c) for k, c in enumerate(extra or [])])
+    return both.select("doc_id", "text", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), *([F.struct(*[F.col(f"_extra{k}").alias(f"f{k}") for k in range(len(extra))]).alias("extra")] if extra else []))

@@ -13,7 +13,7 @@ All numbers are little-endian. Any id can be found from the offsets without read
 written under a temporary name and renamed, so that a repeated task leaves one whole file.
 
 Defined results: null text counts as empty; each document gets the end id, so an empty one has 1 id; documents of equal
-doc_id stand next to each other; an empty table gives no shard and an empty result.
+doc_id stand next to each other, those without one first; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .codec import codec, kind_of
 from .common import column_of, fresh_path, small_batches, with_text
 
 MAGIC, VERSION, BLOCK = b"TWPI", 1, 8192
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
 
 
 def bits_for(vocab_size: int) -> int:
@@ -82,7 +84,7 @@ class ShardWriter:
     def close(self) -> None:
         if len(self.left):
             self._put(self.left)
-        tables, places = [np.array(self.doc_ids, "<i8"), np.array(self.first, "<u8"), np.array([*self.offsets, self.at], "<u8")], []
+        tables, places = [np.array([NO_ID if d is None else d for d in self.doc_ids], "<i8"), np.array(self.first, "<u8"), np.array([*self.offsets, self.at], "<u8")], []
         for t in tables:
             places.append(self.at)
             self.at += self.out.write(t.tobytes())
@@ -179,7 +181,7 @@ def read_shards(shards: DataFrame, docs_at_once: int = 256) -> DataFrame:
                         data = memoryview(r.ids(int(first[0]), int(first[-1])).tobytes())
                         cuts = (4 * (first - first[0])).tolist()
                         crc = [zlib.crc32(data[p:q]) for p, q in zip(cuts, cuts[1:])]
-                        yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[lo:hi]), pa.array(first[:-1] + start), pa.array(np.diff(first)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[lo:hi], mask=r.doc_ids[lo:hi] == NO_ID), pa.array(first[:-1] + start), pa.array(np.diff(first)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = shards.count()
     dealt = shards.select("path", "start").repartition(max(1, min(n, 4096)))
