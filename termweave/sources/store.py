@@ -52,17 +52,17 @@ class Workspace:
         self.replace(table, new if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True))
 
     def append_event(self, key: str, decision: str, note: str = "", reviewer: str = "", snapshot: str | None = None) -> str:
-        """Each event is a file of its own, so that many writers never wait for or overwrite each other."""
+        """Each event is a folder of its own, so that many writers never wait for or overwrite each other."""
         import time
 
         event = uuid.uuid4().hex
         row = self.spark.createDataFrame([(event, time.time_ns(), key, decision, note, reviewer, snapshot)], "event_id string, seq long, key string, decision string, note string, reviewer string, snapshot string")
-        row.withColumn("created_at", F.date_trunc("second", F.current_timestamp())).coalesce(1).write.mode("append").parquet(f"{self.root}/review_events")
+        row.withColumn("created_at", F.date_trunc("second", F.current_timestamp())).coalesce(1).write.parquet(f"{self.root}/review_events/{event}")
         return event
 
     def events(self, decision: str | None = None, most: int | None = None) -> DataFrame:
         fs, p = self._fs(f"{self.root}/review_events")
-        df = self.spark.read.schema(EVENTS).parquet(p.toString()) if fs.exists(p) else self.spark.createDataFrame([], EVENTS)
+        df = self.spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(p.toString()) if fs.exists(p) else self.spark.createDataFrame([], EVENTS)
         df = df if decision is None else df.where(F.col("decision") == decision)
         return df.orderBy("created_at", "seq") if most is None else df.orderBy("created_at", "seq").limit(most)
 
