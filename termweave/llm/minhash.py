@@ -14,7 +14,8 @@
 Verification streams a hub's set and blocks of at most BLOCK members, so that a hub with many members is no hot task.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; fewer than five words make one
-shingle; repeated rows of a doc_id come back as often as they were, with one component; an empty table gives an empty
+shingle; repeated rows of a doc_id come back as often as they were, with one component; a row
+without doc_id takes the component of its class; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, drop_table, persist, small_batches, with_text
+from .common import column_of, persist, small_batches, with_text
 
 SHINGLE, PERCENT = 5, 75
 BINS, BANDS, ROWS, HUBS = 128, 32, 4, 3
@@ -151,15 +152,19 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.min("differ").alias("differ"))
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A table to join with: broadcast where a count shows that it is small, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) that are links on full sets; u is the hub whose set is held, v streams by."""
-    members = pairs.select(F.col("v").alias("doc_id"), F.col("u").alias("hub"), (F.pmod(F.xxhash64("v"), F.lit(1 << 20))).alias("spread"))
-    size = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("u", "hub")
-    members = members.join(size, "hub").select("doc_id", "hub", (F.col("spread") % F.col("blocks")).alias("block"), F.lit(1).alias("kind"))
+    size = persist(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("u", "hub"), "hubs")
+    members = pairs.select(F.col("v").alias("doc_id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.lit(1 << 20)).alias("spread")).join(_side(size), "hub")
+    members = members.select("doc_id", "hub", (F.col("spread") % F.col("blocks")).alias("block"), F.lit(1).alias("kind"))
     hubs = size.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
     wanted = persist(members.unionByName(hubs), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    rows = texts.join(side, "doc_id").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
+    rows = texts.join(_side(wanted), "doc_id").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
 
     def run(batches):
         key, held = None, None
@@ -185,14 +190,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        low = persist(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = both.where(F.col("v") > F.col("u")).join(_side(low), "u").select(F.col("m").alias("u"), "v").where("u <> v")
         # small star: smaller neighbours and the node itself go to the least of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b")
-        after = persist(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        least = persist(large.groupBy("v").agg(F.min("u").alias("m")), "least")
+        small = large.join(_side(least), "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v")
+        after = persist(small.distinct(), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(current) if before is not None else None
         current = after
         if mark == before:
             break
@@ -201,11 +205,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return one.unionByName(current.select(F.col("u").alias("doc_id"), F.col("u").alias("component")).distinct())
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    a, b = (parts.select(F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("u", "v"))
-    joined = pairs.join(a, "u", "left").join(b, "v", "left")
-    return joined.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select(*pairs.columns)
+def _placed(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs with the components c_u and c_v of their ends."""
+    for c in ("u", "v"):
+        pairs = pairs.join(_side(parts.select(F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"))), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    return pairs
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: only components that the links join are worked on."""
+    between = components(_placed(links, parts).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
+    moved = persist(between.select(F.col("doc_id").alias("was"), F.col("component").alias("now")), "moved")
+    old = parts.join(_side(moved), F.col("component") == F.col("was"), "left").select("doc_id", F.coalesce("now", "component").alias("component"))
+    fresh = moved.select(F.col("was").alias("doc_id"), F.col("now").alias("component")).join(_side(parts.select("doc_id")), "doc_id", "left_anti")
+    return persist(old.unionByName(fresh), "parts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mop_up: int = 6) -> DataFrame:
@@ -218,29 +231,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = persist(reps.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles", "s1", "s2"), "buckets")
 
     pairs = persist(star_pairs(members), "pairs")
-    best = pairs.groupBy("v").agg(F.min_by("u", F.struct("differ", "u")).alias("u")).select("u", "v")
-    edges = persist(verify(best, texts), "links")
-    parts = persist(components(edges), "parts")
-    tried = best.select("u", "v")
+    best = persist(pairs.groupBy("v").agg(F.min_by("u", F.struct("differ", "u")).alias("u")).select("u", "v"), "best")
+    parts = persist(components(persist(verify(best, texts), "links")), "parts")
+    # all pairs of a bucket of two are tried; others can hold links between members that are no hubs
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 2")
+    crowd = persist(members.join(crowd, "bucket").select(members.columns), "crowded")
+    tried = best
     for number in range(mop_up):
-        fresh = _apart(pairs, parts).select("u", "v").join(tried, ["u", "v"], "left_anti")
-        fresh = persist(fresh, "fresh")
-        if number == 0 or not fresh.isEmpty():
-            found = persist(verify(fresh, texts), "links")
-            edges, tried = edges.unionByName(found), tried.unionByName(fresh)
-            if not found.isEmpty():
-                parts = persist(components(edges), "parts")
-            elif number:
-                break
+        apart = _placed(pairs, parts).where("c_u <> c_v").select("u", "v")
+        fresh = persist(apart.join(_side(tried), ["u", "v"], "left_anti"), "fresh")
+        found = None if fresh.isEmpty() else persist(verify(fresh, texts), "links")
+        if found is not None and not found.isEmpty():
+            parts = _merged(parts, found)
         elif number:
             break
-        # new stars: of each bucket, the least member of each of its components
-        placed = members.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        heads = placed.groupBy("bucket", "component").agg(F.min_by(F.struct("doc_id", "n_shingles", "s1", "s2"), F.xxhash64("doc_id", F.lit(number + 100))).alias("x")).select("bucket", "x.*")
+        tried = tried.unionByName(fresh)
+        # new stars: in each crowded bucket, one member of each of its components
+        placed = crowd.join(_side(parts), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        head = F.min_by(F.struct("doc_id", "n_shingles", "s1", "s2"), F.xxhash64("doc_id", F.lit(number + 100)))
+        heads = placed.groupBy("bucket", "component").agg(head.alias("x")).select("bucket", "x.*")
         pairs = persist(star_pairs(heads), "pairs")
 
     by_rep = parts.withColumnRenamed("doc_id", "rep")
     of_class = classes.join(by_rep, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     out = all_rows.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
