@@ -1,8 +1,8 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Base spans come from four patterns. Each distinct value found is a protected entity e. Terms (words of at least
-MIN_LETTERS letters, lower-cased) that stand near an entity in at least MIN_CONTEXTS different contexts are candidates;
-with document counts over the whole corpus,
+MIN_LETTERS letters, lower-cased) that stand near an entity in at least MIN_CONTEXTS different contexts of MIN_DOCUMENTS documents
+are candidates; with document counts over the whole corpus,
 
     ic(e) = log2(N / n(e)),  pmi(t, e) = log2(N * n(t, e) / (n(t) * n(e)))
 
@@ -11,7 +11,7 @@ from GENERALISE on it is generalised (replaced by the kind of entity that it poi
 DataFrame functions are used; what is shuffled are entities, contexts and candidate terms, never texts.
 
 Offsets are code points, the end exclusive. Defined results: null and empty texts have no spans; repeated rows get equal
-results, and a doc_id counts once in the statistics; an empty table gives an empty result; other columns are ignored.
+results (n(e) and n(t, e) count a doc_id once, N and n(t) count rows); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
 
-MIN_LETTERS, NEAR, MIN_CONTEXTS = 4, 60, 3
+MIN_LETTERS, NEAR, MIN_CONTEXTS, MIN_DOCUMENTS = 4, 60, 3, 2
 REMOVE, GENERALISE = 0.9, 0.6
 #: Candidate terms up to so many are broadcast, after counting them; beyond that the join shuffles the words.
 BROADCAST_TERMS = 200_000
@@ -94,10 +94,15 @@ def _placed(matches: Column, gaps: Column, passes) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step)["out"]).otherwise(none)
 
 
+def _of_kind(kind: str) -> Column:
+    """The spans of a kind with its name."""
+    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end")))
+
+
 def protected(spans: DataFrame) -> DataFrame:
-    """doc_id, kind, value, start, end: one row for each base span."""
-    each = F.flatten(F.array(*[F.transform(k, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
-    return spans.select("doc_id", F.explode(each).alias("s"), *(["text"] if "text" in spans.columns else [])).select("doc_id", "s.*", *(["text"] if "text" in spans.columns else []))
+    """doc_id, text, kind, value, start, end: one row for each base span."""
+    each = F.flatten(F.array(*[_of_kind(k) for k in KINDS]))
+    return spans.select("doc_id", "text", F.explode(each).alias("s")).select("doc_id", "text", "s.*")
 
 
 def contexts(spans: DataFrame) -> DataFrame:
@@ -110,26 +115,51 @@ def contexts(spans: DataFrame) -> DataFrame:
     return near.select("doc_id", "kind", "value", F.xxhash64("before", "after").alias("context"), F.explode(F.array_union(words("before"), words("after"))).alias("term"))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def term_counts(texts: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """term, n_t: the number of texts that hold each of the given terms."""
+    each = texts.select(F.explode(F.array_distinct(_words(F.lower("text")))).alias("term"))
+    return each.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def term_places(texts: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """doc_id, term, start, end: every place of the given terms in the texts."""
-    split = texts.withColumn("w", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    """doc_id, start, end and the columns of terms: every place of the given terms in the texts."""
+    split = texts.withColumn("w", _words(F.col("text")))
     side = F.broadcast(terms) if few else terms
     hit = split.select("doc_id", "text", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", F.lower("word")).join(side, "term")
     gaps = F.slice(F.split("text", WORD, -1), F.lit(1), F.col("pos") + 1)
-    length = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s))
+    length = lambda a: F.length(F.array_join(a, ""))
     start = length(gaps) + length(F.slice("w", F.lit(1), F.col("pos")))
-    return hit.select("doc_id", "term", start.alias("start"), (start + F.length("word")).alias("end"))
+    return hit.select("doc_id", *[c for c in terms.columns], start.alias("start"), (start + F.length("word")).alias("end"))
 
 
-def disclosing(near: DataFrame, places: DataFrame, total: int, remove: float, generalise: float) -> DataFrame:
-    """term, kind ("removed" or "generalised"), points_to: terms over a threshold, by the entity they disclose most."""
+def _pairs(near: DataFrame) -> DataFrame:
+    """term, kind, value, n_te, n_e of terms that stand near an entity often enough."""
     n_e = near.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("n_e"))
     n_te = near.groupBy("term", "kind", "value").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("context").alias("contexts"))
-    n_t = places.groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
-    both = n_te.where(F.col("contexts") >= MIN_CONTEXTS).join(n_e, ["kind", "value"]).join(n_t, "term")
+    return n_te.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("n_te") >= MIN_DOCUMENTS)).join(n_e, ["kind", "value"])
+
+
+def _share(total: int, n_t: Column) -> Column:
+    """pmi(t, e) / ic(e)."""
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    share = F.when(ic > 0, F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / ic).otherwise(0.0)
-    best = both.withColumn("share", share).where(F.col("share") >= generalise).groupBy("term").agg(F.max(F.struct("share", "kind")).alias("x"))
+    return F.when(ic > 0, F.log2(F.lit(float(total)) * F.col("n_te") / (n_t * F.col("n_e"))) / ic).otherwise(0.0)
+
+
+def candidate_terms(near: DataFrame, total: int, generalise: float) -> DataFrame:
+    """Terms that can reach the threshold: n(t) is at least the number of documents that have the term near an entity,
+    so that this number gives an upper bound on what the term discloses. Common words end here."""
+    least = near.groupBy("term").agg(F.count_distinct("doc_id").alias("n_near"))
+    return _pairs(near).join(least, "term").where(_share(total, F.col("n_near")) >= generalise).select("term").distinct()
+
+
+def disclosing(near: DataFrame, n_t: DataFrame, total: int, remove: float, generalise: float) -> DataFrame:
+    """term, kind ("removed" or "generalised"), points_to: terms over a threshold, by the entity they disclose most."""
+    both = _pairs(near).join(n_t, "term")
+    best = both.withColumn("share", _share(total, F.col("n_t"))).where(F.col("share") >= generalise).groupBy("term").agg(F.max(F.struct("share", "kind")).alias("x"))
     return best.select("term", F.when(F.col("x.share") >= remove, "removed").otherwise("generalised").alias("kind"), F.col("x.kind").alias("points_to"))
 
 
@@ -142,12 +172,13 @@ def find_personal_data(docs: DataFrame, remove: float = REMOVE, generalise: floa
     texts = with_text(docs, id_col, text_col)
     based = base_spans(texts)
     near = persist(contexts(based), "contexts")
-    often = near.groupBy("term", "kind", "value").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= MIN_CONTEXTS)
-    terms = persist(often.select("term").distinct(), "terms")
-    n_terms, total = terms.count(), texts.select("doc_id").distinct().count()
-    places = persist(term_places(texts, terms, n_terms <= BROADCAST_TERMS), "places")
-    flagged = disclosing(near, places, total, remove, generalise)
-    hits = places.distinct().join(flagged, "term").groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end", F.col("points_to").alias("value"))))).alias(k) for k in TERM_KINDS])
+    total = texts.count()
+    terms = persist(candidate_terms(near, total, generalise), "terms")
+    n_terms = terms.count()
+    counted = term_counts(texts, terms, n_terms <= BROADCAST_TERMS)
+    flagged = persist(disclosing(near, counted, total, remove, generalise), "flagged")
+    places = term_places(texts, flagged, flagged.count() <= BROADCAST_TERMS)
+    hits = places.distinct().groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end", F.col("points_to").alias("value"))))).alias(k) for k in TERM_KINDS])
     found = based.drop("text").join(hits, "doc_id", "left")
     found = found.withColumns({k: F.coalesce(k, F.array().cast(SPANS)) for k in TERM_KINDS})
     base = F.concat(*[_joined(k, F.col(k)) for k in KINDS])
@@ -155,13 +186,22 @@ def find_personal_data(docs: DataFrame, remove: float = REMOVE, generalise: floa
     return found.select("doc_id", *KINDS, *TERM_KINDS, F.array_join(base, ",").alias("base_spans"), F.array_join(every, ",").alias("spans"))
 
 
+def _replaced(kind: str) -> Column:
+    """The spans of a kind with what stands in their place."""
+
+    def one(s):
+        by = F.lit("") if kind == "removed" else F.upper(F.concat(F.lit("["), s["value"], F.lit("]"))) if kind == "generalised" else F.lit(f"[{kind.upper()}]")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), by.alias("by"))
+
+    return F.transform(kind, one)
+
+
 def sanitise(text: Column, *kinds: str) -> Column:
     """The text with the spans of these columns replaced: [KIND] for entities and generalised terms, nothing for removed.
 
     Of overlapping spans the one that starts first is replaced.
     """
-    label = lambda k: (lambda s: F.lit("") if k == "removed" else F.upper(F.concat(F.lit("["), s["value"], F.lit("]"))) if k == "generalised" else F.lit(f"[{k.upper()}]"))
-    every = F.array_sort(F.flatten(F.array(*[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(k)(s).alias("by"))) for k in kinds])))
+    every = F.array_sort(F.flatten(F.array(*[_replaced(k) for k in kinds])))
 
     def step(acc, s):
         put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"])
