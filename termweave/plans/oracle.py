@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termweave.constants import BACKGROUND_WORDS, DOMAIN_HINTS, GENERIC_SURFACES, LINT_BROAD_WORDS, LOW_SIGNAL_FRAGMENTS
+from termweave.constants import BACKGROUND_WORDS, DOMAIN_HINTS, GENERIC_SURFACES
 from termweave.plans.fixtures import INJECTED
 
 
@@ -105,7 +105,7 @@ SELECT text_id, tool_name, status, CASE status WHEN 'blocked' THEN 'block' WHEN
 ORACLE["behavior_metrics"] = f"""WITH {CATALOG}, c AS (SELECT count(*) AS n, count(*) FILTER (length(canonical) % 5 = 0) AS odd FROM term), m AS (
   SELECT unnest(['resolution_status', 'resolution_action', 'canonicalization', 'ambiguity_detection', 'tool_status', 'tool_action', 'tool_allowed', 'wrong_tool_prevention', 'overall']) AS metric,
     unnest([n - odd, 0, n, 0, 0, 0, 2 * n, n, 5 * n - odd]) AS passed, unnest([n, 0, n, odd, 0, 0, 2 * n, n, 5 * n]) AS total FROM c)
-SELECT metric, passed, total, CASE WHEN total > 0 THEN passed / total END AS ratio FROM m"""
+SELECT metric, passed, total, CASE WHEN total > 0 THEN passed / total ELSE -1.0 END AS ratio FROM m"""
 
 # In DuckDB's engine there is no look-around: every other character is doubled, so that names can take one on each side.
 SEP = "[._:/-]"
@@ -205,9 +205,15 @@ CODE = f"""code AS (SELECT DISTINCT 'src/' || (text_id % 100) || '.py' AS path,
   text || CASE text_id % 5 WHEN 0 THEN ' stock_' || noun || '_ledger' WHEN 1 THEN ' tmp_value' ELSE '' END AS text, text_id % 7 AS kind, adj, noun, text_id % 5 AS extra FROM texts)"""
 DRIFT = f"WITH {CATALOG}, {TEXTS}, {CODE}, numbered AS (SELECT path, line_number, text, row_number() OVER () AS text_id FROM (SELECT DISTINCT path, line_number, text FROM code)), {_matching('numbered')}, {LONG}, {ONE}"
 ORACLE["drift_known"] = f"{DRIFT} SELECT path, line_number, term_id, first(surface ORDER BY \"start\") AS surface, matched_text FROM one JOIN (SELECT text_id, path, line_number FROM numbered) USING (text_id) GROUP BY path, line_number, term_id, matched_text"
-# of the names in these lines those that a catalog surface covers whole are known
-UNKNOWN = """raw AS (SELECT DISTINCT path, line_number, 'stock_' || noun || '_ledger' AS name, 'ledger' AS what FROM code WHERE extra = 0 UNION SELECT DISTINCT path, line_number, 'tmp_value', 'tmp' FROM code WHERE extra = 1
-  UNION SELECT DISTINCT path, line_number, upper(split_part(p, ' ', k)), CASE k WHEN 1 THEN 'adj' ELSE 'noun' END FROM (SELECT path, line_number, adj || ' ' || noun AS p, unnest([1, 2]) AS k FROM code WHERE kind = 6) WHERE length(split_part(p, ' ', k)) >= 3)"""
+ORACLE["near_miss_components"] = f"""WITH {CATALOG}, q AS (
+  SELECT DISTINCT unnest([adj || upper(left(noun, 1)) || substr(noun, 2, length(noun) - 2), 'tiny_' || noun, adj || '-limit']) AS name, unnest([[adj, left(noun, length(noun) - 1)], ['tiny', noun], [adj, 'limit']]) AS qf, unnest(['camel', 'snake', 'kebab']) AS qs FROM term),
+k AS (
+  SELECT term_id, [adj, noun] AS tf, unnest([canonical, adj || upper(left(noun, 1)) || substr(noun, 2), upper(left(adj, 1)) || substr(adj, 2) || upper(left(noun, 1)) || substr(noun, 2), adj || '_' || noun, upper(adj || '_' || noun), adj || '-' || noun]) AS known,
+    unnest(['phrase', 'camel', 'camel', 'snake', 'snake', 'kebab']) AS ks FROM term WHERE NOT deprecated
+  UNION ALL SELECT term_id, [noun], noun, 'word' FROM term WHERE NOT deprecated),
+p AS (SELECT *, list_filter(qf, lambda x: list_contains(tf, x)) AS s FROM q, k)
+SELECT name, term_id, known, array_to_string(s, ',') AS shared, {_round4('len(s) / len(list_distinct(list_concat(qf, tf)))')} AS raw_jaccard, qf[1] = tf[1] AS same_prefix, qf[-1] = tf[-1] AS same_suffix,
+  {_round4("least(1.0::DOUBLE, (CASE WHEN len(qf) = len(tf) THEN 0.45 ELSE 0 END)::DOUBLE + (CASE WHEN qs = ks THEN 0.35 ELSE 0 END)::DOUBLE + (CASE WHEN length(qf[-1]) = length(tf[-1]) THEN 0.10 ELSE 0 END)::DOUBLE + (CASE WHEN length(qf[1]) = length(tf[1]) THEN 0.10 ELSE 0 END)::DOUBLE)")} AS shape_score FROM p WHERE len(s) > 0"""
 ORACLE["diff_items"] = f"""WITH {CATALOG},
 e AS (SELECT *, CASE WHEN canonical = 'red ring' THEN 'ruby ring' ELSE canonical END AS c2 FROM term)
 SELECT 'added' AS change, 'term' AS object_kind, unnest(['part.theirs_only', 'part.shared', 'part.clash']) AS object_id, NULL AS field, NULL AS "before", NULL AS "after"

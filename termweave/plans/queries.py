@@ -118,7 +118,8 @@ def behavior_metrics(spark, sf_dir):
         F.col("term_id").alias("id"), F.concat(F.lit("update "), "canonical").alias("text"), F.array().cast("array<string>").alias("scopes"), F.when(odd, "ambiguous").otherwise("resolved").alias("expected_status"), none.alias("expected_action"),
         F.array("term_id").alias("expected_term_ids"), F.col("term_id").alias("expected_primary_term_id"), F.array(call(F.concat(F.lit("catalog.update_"), noun), True), call(F.concat(F.lit("catalog.drop_"), adj), False)).alias("tool_calls"),
     )
-    return evaluate.metrics(*evaluate.run_evaluation(q, v))
+    m = evaluate.metrics(*evaluate.run_evaluation(q, v))
+    return m.withColumn("ratio", F.coalesce("ratio", F.lit(-1.0)))  # -1: nothing was checked
 
 
 def _counted(spark, sf_dir):
