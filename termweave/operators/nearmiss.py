@@ -120,3 +120,17 @@ def rerank(suggestions: DataFrame, vectors: DataFrame, threshold: float = 0.35)
     cosine = F.when(F.col("escalate") & (norm > 0), dot("va", "vb") / norm)
     out = j.withColumn("semantic", F.coalesce(cosine, F.lit(-1.0))).drop("va", "vb").where(~F.col("escalate") | (F.col("semantic") >= threshold) | F.col("semantic").eqNullSafe(-1.0))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("name", "requested").orderBy(F.desc("semantic"), "rank")))
+
+
+def rerank_with(suggestions: DataFrame, load, threshold: float = 0.35) -> DataFrame:
+    """rerank with vectors of a pluggable encoder. load gives a function from a list of texts to vectors; it runs once
+    for each task, and only names and targets of escalated suggestions are encoded, each once."""
+    asked = suggestions.where("escalate")
+    keys = asked.select(F.col("name").alias("key")).unionByName(asked.select(F.col("canonical").alias("key"))).distinct()
+
+    def run(batches):
+        encode = load()
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "embedding": [list(map(float, v)) for v in encode(list(b["key"]))]})
+
+    return rerank(suggestions, keys.mapInPandas(run, "key string, embedding array<double>"), threshold)

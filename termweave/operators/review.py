@@ -50,8 +50,8 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """key, seq and the fields of a reviewer's JSON response; invalid ones keep an error instead."""
     r = responses.withColumn("x", F.from_json("response", RESPONSE))
     good = F.col("x").isNotNull() & F.col("x.recommendation").isin(*RECOMMENDATIONS)
-    out = r.select("key", "seq", F.when(good, F.col("x.recommendation")).alias("recommendation"), F.when(good, T.unit(F.coalesce("x.confidence", F.lit(0.0)))).alias("confidence"), F.when(good, F.coalesce(F.trim("x.canonical_name"), F.lit(""))).alias("canonical_name"), F.coalesce("x.reviewer_note", F.lit("")).alias("reviewer_note"), F.coalesce("x.risk_flags", F.array().cast("array<string>")).alias("risk_flags"))
-    return out.withColumn("error", F.when(~F.coalesce(good, F.lit(False)), "invalid response"))
+    out = r.select("key", "seq", F.when(good, F.col("x.recommendation")).alias("recommendation"), F.when(good, T.unit(F.coalesce("x.confidence", F.lit(0.0)))).alias("confidence"), F.when(good, F.coalesce(F.trim("x.canonical_name"), F.lit(""))).alias("canonical_name"), F.coalesce("x.reviewer_note", F.lit("")).alias("reviewer_note"), F.coalesce("x.risk_flags", F.array().cast("array<string>")).alias("risk_flags"), F.when(~F.coalesce(good, F.lit(False)), "invalid response").alias("error"))
+    return out
 
 
 def consensus(samples: DataFrame, min_agreement: float = 0.67, min_confidence: float = 0.65) -> DataFrame:
@@ -120,3 +120,41 @@ def check_policy(requests: DataFrame, actors: DataFrame | None = None) -> DataFr
     r = r.withColumn("role", F.coalesce("role", "actor_role", F.element_at(default, F.col("mode")))).drop("actor_role")
     m = policy_matrix(requests.sparkSession)
     return r.join(F.broadcast(m), ["mode", "action", "role"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
+QUALITIES = ("usable", "low_signal", "incomplete", "conflicting", "unsafe")
+
+
+def quality_counts(examples: DataFrame) -> DataFrame:
+    """quality, n for every quality, those without examples too."""
+    every = examples.sparkSession.createDataFrame([(q,) for q in QUALITIES], "quality string")
+    return every.join(examples.groupBy("quality").agg(F.count("*").alias("n")), "quality", "left").fillna(0, ["n"])
+
+
+def build_dataset(events: DataFrame, quality: str | None = None, most: int | None = None) -> DataFrame:
+    """Training examples of the first `most` events; conflicts are looked for among these, then the quality is filtered."""
+    first = events if most is None else events.orderBy("created_at", "seq").limit(most)
+    out = dataset_quality(first)
+    return out if quality is None else out.where(F.col("quality") == quality)
+
+
+def export_dataset(examples: DataFrame, path: str) -> None:
+    """JSON lines with keys in alphabetical order."""
+    examples.select(F.to_json(F.struct(*sorted(examples.columns))).alias("value")).write.mode("overwrite").text(path)
+
+
+def newest(snapshots: DataFrame, most: int = 5) -> DataFrame:
+    """The newest snapshots; seq breaks ties."""
+    return snapshots.orderBy(F.desc("created_at"), F.desc("seq")).limit(most)
+
+
+def find_evidence(requests: DataFrame, lexical: DataFrame, workspace: DataFrame, most: int = 5) -> DataFrame:
+    """request_id, rank, source, snippet: evidence of the vocabulary first, then of the workspace.
+
+    requests: request_id, term_id, key; lexical: owner_id, evidence_ord, snippet; workspace: key, ord, text.
+    """
+    a = requests.join(lexical, requests["term_id"] == lexical["owner_id"]).select("request_id", F.lit(0).alias("source_ord"), F.col("evidence_ord").alias("ord"), "snippet")
+    b = requests.join(workspace, "key").select("request_id", F.lit(1).alias("source_ord"), "ord", F.col("text").alias("snippet"))
+    w = Window.partitionBy("request_id").orderBy("source_ord", "ord")
+    out = a.unionByName(b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return out.select("request_id", "rank", F.when(F.col("source_ord") == 0, "vocabulary").otherwise("workspace").alias("source"), "snippet")
