@@ -107,6 +107,13 @@ def test_random_texts_match_as_by_search(spark):
     assert got == want
 
 
+def test_large_vocabulary(spark, v, monkeypatch):
+    t, dim = texts(spark, "credit limit", "API_KEY and RATE-limit", None, "credit limit"), match.surface_dimension(v)
+    want = sorted(map(str, match.match_all(t, dim).collect()))
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, match.match_all(t, dim).collect())) == want and len(want) > 3
+
+
 def test_longest(spark, v):
     m = match.match_longest(match.match_all(texts(spark, "credit limit and limit"), match.surface_dimension(v))).collect()
     assert sorted((r.start, r.term_id) for r in m) == [(0, "billing.credit_limit"), (17, "api.rate_limit")]
