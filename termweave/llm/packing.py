@@ -27,6 +27,8 @@ PIECES = 20_000
 #: Bins of a partition with a gap that have at most this share free are kept.
 TIGHT = 1 / 512
 ROUNDS = 8
+#: Pre-tokens that a worker keeps; it keeps them while later stages run, too.
+CACHED = 300_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     kind = kind_of(tokenizer)
 
     def run(batches):
-        c = codec(tokenizer, kind, "ids")
+        c = codec(tokenizer, kind, "ids", CACHED)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for d, a in zip(column_of(b, "doc_id").to_pylist(), c.ids(column_of(b, "text").to_pylist()), strict=True):
