@@ -8,7 +8,7 @@ are candidates; with document counts over the whole corpus,
 
 a term discloses the share pmi / ic of what there is to know about e. From REMOVE on it is removed wherever it stands,
 from GENERALISE on it is generalised (replaced by the kind of entity that it points to). Base spans always stay. Only
-DataFrame functions are used; what is shuffled are entities, contexts and candidate terms, never texts.
+DataFrame functions are used; what is shuffled are entities, contexts and word counts, never texts.
 
 Offsets are code points, the end exclusive. Defined results: null and empty texts have no spans; repeated rows get equal
 results (n(e) and n(t, e) count a doc_id once, N and n(t) count rows); an empty table gives an empty result; other columns are ignored.
@@ -120,9 +120,13 @@ def _words(text: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """term, n_t: the number of texts that hold each of the given terms."""
-    each = texts.select(F.explode(F.array_distinct(_words(F.lower("text")))).alias("term"))
-    return each.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    """term, n_t: the number of texts that hold each of the given terms.
+
+    All words are counted (partly before the shuffle) and then looked up: the work grows with the texts alone, where
+    joining every word with the terms would grow with both.
+    """
+    each = texts.select(F.explode(F.array_distinct(_words(F.lower("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return each.join(F.broadcast(terms) if few else terms, "term")
 
 
 def term_places(texts: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
