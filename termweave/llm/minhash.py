@@ -35,6 +35,8 @@ SKETCH_DIFFERS = 40
 #: Sets of at most so many shingles skip the sketch: it is less sure for them.
 SMALL_SET = 24
 BLOCK = 256
+#: Classes of equal texts with this share of all rows or more are broadcast: at most 1 / HEAVY are.
+HEAVY = 1 / 2000
 #: Ids wanted for verification are broadcast up to so many, after counting; beyond that the join shuffles.
 BROADCAST_IDS = 300_000
 _U = np.uint64
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     texts = with_text(docs, id_col, text_col)
     all_rows = persist(describe(texts), "sets")
-    classes = all_rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep"))
+    classes = all_rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = all_rows.join(classes.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
     members = persist(reps.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles", "s1", "s2"), "buckets")
 
@@ -253,7 +255,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = persist(star_pairs(heads), "pairs")
 
     by_rep = parts.withColumnRenamed("doc_id", "rep")
-    of_class = classes.join(by_rep, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    out = all_rows.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
+    of_class = persist(classes.join(by_rep, "rep", "left").select("same", "copies", F.coalesce("component", "rep").alias("component")), "classes")
+    # a class that holds many rows would be one task's: at most 1 / HEAVY classes hold so many, and they are broadcast
+    many = max(HEAVY * (of_class.agg(F.sum("copies")).first()[0] or 0), 64)
+    heavy = F.broadcast(of_class.where(F.col("copies") >= many).select("same", "component"))
+    rows = all_rows.select("doc_id", "n_shingles", "same")
+    light = rows.join(heavy.select("same"), "same", "left_anti").join(of_class.where(F.col("copies") < many).select("same", "component"), "same", "left")
+    out = rows.join(heavy, "same").unionByName(light)
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
