@@ -5,10 +5,12 @@
 2. One permutation: a set's hashes fall into BINS bins by their leading bits, the least of each bin is kept. Empty bins
    borrow from bins chosen by a fixed random walk of their own (optimal densification). BANDS bands of ROWS bins make
    buckets; two sets of similarity 0.75 share none with a chance of about 5e-6.
-3. In a bucket every member is paired with HUBS hubs only (the least under different orders): a bucket of m members gives
-   at most HUBS * m pairs. Pairs whose sizes or 128-bit sketches rule a link out are left away.
+3. In a bucket every member is at first paired with HUBS hubs only (the least under different orders): a bucket of m members
+   gives at most HUBS * m pairs. Pairs whose sizes or 128-bit sketches rule a link out are left away.
 4. Pairs are verified on full sets, in rounds: first the likeliest hub of each member, then what still lies between
-   different components, then new stars between the components that share a bucket, until nothing new is found.
+   different components. Buckets that still hold several components go on: in an order of their own, the first
+   GROW * HUBS members are paired with all members of other components, then GROW times as many, until every member of
+   such a bucket has been a hub. Then no bucket holds an untried pair between different components.
 5. Components are found by large-star / small-star steps over written tables.
 
 Verification streams a hub's set and blocks of at most BLOCK members, so that a hub with many members is no hot task.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import column_of, persist, small_batches, with_text
 
 SHINGLE, PERCENT = 5, 75
-BINS, BANDS, ROWS, HUBS = 128, 32, 4, 3
+BINS, BANDS, ROWS, HUBS, GROW = 128, 32, 4, 3, 4
 #: Sketch bits in which a linked pair may differ: expected 16 of 128 at similarity 0.75, deviation 3.7.
 SKETCH_DIFFERS = 40
 #: Sets of at most so many shingles skip the sketch: it is less sure for them.
@@ -154,6 +156,23 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.min("differ").alias("differ"))
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """The members of buckets of three or more with their turn to be a hub: evenly spread over 0 to the bucket's size, another order in each bucket."""
+    size = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 2")
+    even = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return members.join(size, "bucket").select(*members.columns, (even * F.col("size")).alias("turn"))
+
+
+def turn_pairs(placed: DataFrame, begin: int, end: int) -> DataFrame:
+    """placed: crowded members with their component. Pairs (u, v) of the hubs whose turn is from begin to end with later members of other components."""
+    now = placed.where((F.col("turn") >= begin) & (F.col("turn") < end))
+    hubs = now.select(F.col("bucket").alias("at"), F.col("component").alias("c_hub"), F.struct("turn", "doc_id", "n_shingles", "s1", "s2").alias("hub"))
+    ok, _ = _plausible({c: F.col(c) for c in ("n_shingles", "s1", "s2")}, F.col("hub"))
+    later = F.struct("hub.turn", "hub.doc_id") < F.struct("turn", "doc_id")
+    each = placed.join(_side(hubs), (F.col("bucket") == F.col("at")) & (F.col("c_hub") != F.col("component")) & later & ok)
+    return each.select(F.least("doc_id", "hub.doc_id").alias("u"), F.greatest("doc_id", "hub.doc_id").alias("v")).distinct()
+
+
 def _side(df: DataFrame) -> DataFrame:
     """A table to join with: broadcast where a count shows that it is small, else shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
@@ -236,23 +255,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = persist(pairs.groupBy("v").agg(F.min_by("u", F.struct("differ", "u")).alias("u")).select("u", "v"), "best")
     parts = persist(components(persist(verify(best, texts), "links")), "parts")
     # all pairs of a bucket of two are tried; others can hold links between members that are no hubs
-    crowd = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 2")
-    crowd = persist(members.join(crowd, "bucket").select(members.columns), "crowded")
-    tried = best
-    for number in range(mop_up):
-        apart = _placed(pairs, parts).where("c_u <> c_v").select("u", "v")
-        fresh = persist(apart.join(_side(tried), ["u", "v"], "left_anti"), "fresh")
-        found = None if fresh.isEmpty() else persist(verify(fresh, texts), "links")
-        if found is not None and not found.isEmpty():
-            parts = _merged(parts, found)
-        elif number:
+    crowd = persist(crowded(members), "crowded")
+    pairs = _placed(pairs, parts).where("c_u <> c_v").select("u", "v")
+    tried, done = best, 0
+    for _ in range(mop_up):
+        fresh = persist(pairs.join(_side(tried), ["u", "v"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            found = persist(verify(fresh, texts), "links")
+            if not found.isEmpty():
+                parts = _merged(parts, found)
+            tried = tried.unionByName(fresh)
+        # buckets of one component are settled, and so are those whose members have all been hubs
+        placed = crowd.drop("component").join(_side(parts), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.max("turn").alias("last"))
+        several = several.where((F.col("c") != F.col("d")) & (F.col("last") >= done)).select("bucket")
+        crowd = persist(placed.join(several, "bucket", "left_semi"), "crowded")
+        if crowd.isEmpty():
             break
-        tried = tried.unionByName(fresh)
-        # new stars: in each crowded bucket, one member of each of its components
-        placed = crowd.join(_side(parts), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        head = F.min_by(F.struct("doc_id", "n_shingles", "s1", "s2"), F.xxhash64("doc_id", F.lit(number + 100)))
-        heads = placed.groupBy("bucket", "component").agg(head.alias("x")).select("bucket", "x.*")
-        pairs = persist(star_pairs(heads), "pairs")
+        begin, done = done, GROW * max(done, HUBS)
+        pairs = persist(turn_pairs(crowd, begin, done), "pairs")
 
     by_rep = parts.withColumnRenamed("doc_id", "rep")
     of_class = persist(classes.join(by_rep, "rep", "left").select("same", "copies", F.coalesce("component", "rep").alias("component")), "classes")

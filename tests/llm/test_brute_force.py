@@ -132,6 +132,34 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def copies_of(rng, n, edits):
+    """A text of 200 words and copies with some words replaced, the text itself somewhere among them."""
+    base = prose(rng, 200).split()
+    texts = [" ".join(base)]
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(len(w)), edits):
+            w[at] = f"new{k}x{at}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_copies_that_only_meet_in_their_original(spark):
+    rows = copies_of(random.Random(11), 500, 5)
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, w in ((d, t.lower().split()) for d, t in rows)}
+    part = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if part[a] != part[b] and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                old, new = max(part[a], part[b]), min(part[a], part[b])
+                part = {d: new if c == old else c for d, c in part.items()}
+    assert max(Counter(part.values()).values()) > 300
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == part
+
+
 def test_substitutions_are_tolerated(spark):
     rng = random.Random(4)
     item = prose(rng, 40).split()
