@@ -205,11 +205,11 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("hub", "block", "kind", "doc_id", "text").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """doc_id, component (its smallest doc_id) of all ids in edges (u, v), by alternating large and small stars."""
     current = persist(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = persist(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.where(F.col("v") > F.col("u")).join(_side(low), "u").select(F.col("m").alias("u"), "v").where("u <> v")
@@ -242,7 +242,7 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return persist(old.unionByName(fresh), "parts")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mop_up: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     small_batches(docs.sparkSession)
     texts = with_text(docs, id_col, text_col)
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = persist(crowded(members), "crowded")
     pairs = _placed(pairs, parts).where("c_u <> c_v").select("u", "v")
     tried, done = best, 0
-    for _ in range(mop_up):
+    while True:
         fresh = persist(pairs.join(_side(tried), ["u", "v"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             found = persist(verify(fresh, texts), "links")

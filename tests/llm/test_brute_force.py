@@ -160,6 +160,21 @@ def test_copies_that_only_meet_in_their_original(spark):
     assert {r.doc_id: r.component_id for r in got} == part
 
 
+def test_every_pair_of_a_bucket_is_tried(spark, monkeypatch):
+    df = spark.createDataFrame(copies_of(random.Random(12), 90, 5), "doc_id long, text string")
+    rows = minhash.describe(df).collect()
+    want = {(a.doc_id, b.doc_id) for a in rows for b in rows if a.doc_id < b.doc_id and set(a.bands) & set(b.bands) and sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in ((a.s1, b.s1), (a.s2, b.s2))) <= minhash.SKETCH_DIFFERS}
+    tried = []
+
+    def none_links(pairs, texts):
+        tried.extend((r.u, r.v) for r in pairs.collect())
+        return pairs.where("false").select("u", "v")
+
+    monkeypatch.setattr(minhash, "verify", none_links)
+    assert minhash.near_duplicates(df).where("kept").count() == 91
+    assert len(want) > 1000 and set(tried) == want and len(tried) == len(want)
+
+
 def test_substitutions_are_tolerated(spark):
     rng = random.Random(4)
     item = prose(rng, 40).split()
