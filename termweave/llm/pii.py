@@ -1,8 +1,8 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Base spans come from four patterns. Each distinct value found is a protected entity e. Terms (words of at least
-MIN_LETTERS letters, lower-cased) that stand near an entity in at least MIN_CONTEXTS different contexts of MIN_DOCUMENTS documents
-are candidates; with document counts over the whole corpus,
+MIN_LETTERS letters, lower-cased) that stand near an entity in at least MIN_CONTEXTS different contexts are candidates,
+be it in one document; with document counts over the whole corpus,
 
     ic(e) = log2(N / n(e)),  pmi(t, e) = log2(N * n(t, e) / (n(t) * n(e)))
 
@@ -30,7 +30,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
 
-MIN_LETTERS, NEAR, MIN_CONTEXTS, MIN_DOCUMENTS = 4, 60, 3, 2
+MIN_LETTERS, NEAR, MIN_CONTEXTS = 4, 60, 3
 REMOVE, GENERALISE = 0.9, 0.6
 #: Candidate terms up to so many are broadcast, after counting them; beyond that the join shuffles the words.
 BROADCAST_TERMS = 200_000
@@ -144,7 +144,7 @@ def _pairs(near: DataFrame) -> DataFrame:
     """term, kind, value, n_te, n_e of terms that stand near an entity often enough."""
     n_e = near.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("n_e"))
     n_te = near.groupBy("term", "kind", "value").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("context").alias("contexts"))
-    return n_te.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("n_te") >= MIN_DOCUMENTS)).join(n_e, ["kind", "value"])
+    return n_te.where(F.col("contexts") >= MIN_CONTEXTS).join(n_e, ["kind", "value"])
 
 
 def _share(total: int, n_t: Column) -> Column:

@@ -235,6 +235,15 @@ def test_terms_that_reveal_are_found(spark):
     assert said[3] == rows[3][1]
 
 
+def test_a_name_beside_an_entity_of_one_document_is_found(spark):
+    rng = random.Random(13)
+    rows = [(k, prose(rng, 60)) for k in range(60)]
+    rows += [(100, " ".join(f"{prose(rng, 30)} agent Fitzroyal {c} at jo.f@corp.example" for c in "abc")), (200, f"{prose(rng, 20)} and Fitzroyal left")]
+    by = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[-1][1].index("Fitzroyal")
+    assert (at, at + 9, "email") in [tuple(s) for s in by[200]["generalised"]]
+
+
 def test_quality_counts(odd, odd_rows):
     def plain(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
