@@ -5,20 +5,24 @@
 2. One permutation: a set's hashes fall into BINS bins by their leading bits, the least of each bin is kept. Empty bins
    borrow from bins chosen by a fixed random walk of their own (optimal densification). BANDS bands of ROWS bins make
    buckets; two sets of similarity 0.75 share none with a chance of about 5e-6.
-3. In a bucket every member is at first paired with HUBS hubs only (the least under different orders): a bucket of m members
-   gives at most HUBS * m pairs. Pairs whose sizes or 128-bit sketches rule a link out are left away.
-4. Pairs are verified on full sets, in rounds: first the likeliest hub of each member, then what still lies between
-   different components. Buckets that still hold several components go on: in an order of their own, the first
-   GROW * HUBS members are paired with all members of other components, then GROW times as many, until every member of
-   such a bucket has been a hub. Then no bucket holds an untried pair between different components.
-5. Components are found by large-star / small-star steps over written tables.
-
+3. In a bucket every member is paired with HUBS hubs only (the least under different orders): a bucket of m members gives
+   at most HUBS * m star-shaped edges. Pairs whose sizes or 128-bit sketches rule a link out are left away.
+4. These pairs are verified on full sets: first the likeliest hub of each member, then those that still lie between
+   different components.
+5. Buckets that then still hold several components can hide links between members that are no hubs. They are solved
+   exactly: the members outside the bucket's largest component are compared with all members of other components, in
+   blocks, by one product of 0/1 matrices for each pair of blocks. Only links that join components leave a block, so that
+   no pairs are emitted. The work grows with the members outside the largest component times all members.
+6. Components are found by large-star / small-star steps over written tables.
+
+So every two documents that share a bucket and aren't linked through others were compared, by sketch or in full.
 Verification streams a hub's set and blocks of at most BLOCK members, so that a hub with many members is no hot task.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; fewer than five words make one
-shingle; repeated rows of a doc_id come back as often as they were, with one component; a row
-without doc_id takes the component of its class; an empty table gives an empty
-result; other columns are ignored.
+shingle; a very long text is one set of as many hashes as it has shingles, held by one task at a time; repeated rows of a
+doc_id come back as often as they were, with one component, and where their texts differ a link of any of them is a link
+of the doc_id; a row without doc_id takes the component of its class; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, persist, small_batches, with_text
+from .common import column_of, persist, slices, with_text
 
 SHINGLE, PERCENT = 5, 75
-BINS, BANDS, ROWS, HUBS, GROW = 128, 32, 4, 3, 4
+BINS, BANDS, ROWS, HUBS = 128, 32, 4, 3
 #: Sketch bits in which a linked pair may differ: expected 16 of 128 at similarity 0.75, deviation 3.7.
 SKETCH_DIFFERS = 40
 #: Sets of at most so many shingles skip the sketch: it is less sure for them.
 SMALL_SET = 24
-BLOCK = 256
+BLOCK = 64
+#: A block of a crowded bucket has about so many shingles at most, unless one text has more.
+WEIGHT = 500_000
 #: Classes of equal texts with this share of all rows or more are broadcast: at most 1 / HEAVY are.
 HEAVY = 1 / 2000
 #: Ids wanted for verification are broadcast up to so many, after counting; beyond that the join shuffles.
@@ -118,7 +124,7 @@ def describe(docs: DataFrame) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         walks, none = _walks(BINS), None
-        for b in batches:
+        for b in slices(batches):
             n, same, bands, s1, s2 = [], [], [], [], []
             for t in column_of(b, "text").to_pylist():
                 w = words_of(t)
@@ -156,21 +162,109 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.min("differ").alias("differ"))
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The members of buckets of three or more with their turn to be a hub: evenly spread over 0 to the bucket's size, another order in each bucket."""
-    size = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 2")
-    even = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return members.join(size, "bucket").select(*members.columns, (even * F.col("size")).alias("turn"))
-
+def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """bucket, doc_id, component, a, b, mine: the members of buckets with several components, dealt to pairs of blocks.
+
+    Members outside the bucket's largest component are the rest, in blocks 0 to rest - 1; the largest component's members
+    are the bulk, in the blocks after them. A rest block meets every block, a bulk block every rest block. Buckets of two
+    are settled: their only pair was a star's.
+    """
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 2").select("bucket")
+    placed = members.join(crowd, "bucket", "left_semi").join(_side(parts), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = persist(placed, "placed")
+    by_part = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    large = F.max(F.struct("n", "component", "w"))
+    shape = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), large.alias("l")).where("parts > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT))
+    one = (F.col("n") <= 2 * BLOCK) & (F.col("w") <= 2 * WEIGHT)  # small buckets are one block
+    rest = F.when(one, 1).otherwise(blocks(F.col("n") - F.col("l.n"), F.col("w") - F.col("l.w")))
+    bulk = F.when(one, 0).otherwise(blocks(F.col("l.n"), F.col("l.w")))
+    shape = persist(shape.select("bucket", rest.cast("int").alias("rest"), bulk.cast("int").alias("bulk"), F.col("l.component").alias("largest")), "shape")
+    spread = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(1 << 30))
+    is_bulk = (F.col("bulk") > 0) & (F.col("component") == F.col("largest"))
+    dealt = placed.join(_side(shape), "bucket").withColumn("mine", F.when(is_bulk, F.col("rest") + spread % F.greatest("bulk", F.lit(1))).otherwise(spread % F.col("rest")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("rest") + F.col("bulk") - 1)
+    meets = F.when(F.col("mine") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(every)
+    dealt = dealt.select("bucket", "doc_id", "component", "mine", F.explode(meets).alias("other"))
+    return dealt.select("bucket", "doc_id", "component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine")
+
+
+def linked(sets: list[np.ndarray], names: list, sides: list, chunk: int = 4096) -> list[tuple[int, int]]:
+    """Places of linked sets of different names that join all names which any such link joins: a forest of the links.
+
+    Where two sides are given, only sets of different sides are compared. The sizes of all intersections come from a
+    product of 0/1 matrices, over the hashes that more than one set has.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    row, column = np.repeat(np.arange(n), size)[shared], (np.cumsum(held > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, width = np.zeros((n, n), np.float32), int((held > 1).sum())
+    for lo in range(0, width, chunk):
+        p, q = np.searchsorted(column, [lo, lo + chunk])
+        x = np.zeros((n, min(chunk, width - lo)), np.float32)
+        x[row[p:q], column[p:q] - lo] = 1
+        both += x @ x.T
+    both = both.astype(np.int64)
+    ok = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    name = np.unique(np.array(names, np.int64), return_inverse=True)[1]
+    side = np.array(sides)
+    ok &= name[:, None] != name[None, :]
+    if (side != side[0]).any():
+        ok &= side[:, None] != side[None, :]
+    out, root = [], list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(ok)))):
+        p, q = find(int(name[i])), find(int(name[j]))
+        if p != q:
+            root[p] = q
+            out.append((i, j))
+    return out
+
+
+def links_between(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join components, of the members dealt by `unsettled`. Each text's set is made once, then dealt."""
+
+    def make(batches):
+        for b in slices(batches):
+            made = [shingle_set(words_of(t)).tobytes() for t in column_of(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(made, pa.binary())], ["doc_id", "set"])
 
-def turn_pairs(placed: DataFrame, begin: int, end: int) -> DataFrame:
-    """placed: crowded members with their component. Pairs (u, v) of the hubs whose turn is from begin to end with later members of other components."""
-    now = placed.where((F.col("turn") >= begin) & (F.col("turn") < end))
-    hubs = now.select(F.col("bucket").alias("at"), F.col("component").alias("c_hub"), F.struct("turn", "doc_id", "n_shingles", "s1", "s2").alias("hub"))
-    ok, _ = _plausible({c: F.col(c) for c in ("n_shingles", "s1", "s2")}, F.col("hub"))
-    later = F.struct("hub.turn", "hub.doc_id") < F.struct("turn", "doc_id")
-    each = placed.join(_side(hubs), (F.col("bucket") == F.col("at")) & (F.col("c_hub") != F.col("component")) & later & ok)
-    return each.select(F.least("doc_id", "hub.doc_id").alias("u"), F.greatest("doc_id", "hub.doc_id").alias("v")).distinct()
+    def run(batches):
+        at, group = None, []
+
+        def solve():
+            if len(group) > 1:
+                docs, names, sides, data = zip(*group, strict=True)
+                for i, j in linked([np.frombuffer(x, np.uint64) for x in data], names, sides):
+                    yield docs[i], docs[j]
+
+        def batch(found):
+            u, v = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in slices(batches):
+            found = []
+            for bucket, lo, hi, *row in zip(*(column_of(b, c).to_pylist() for c in ("bucket", "a", "b", "doc_id", "component", "mine", "set")), strict=True):
+                if at != (bucket, lo, hi):
+                    found.extend(solve())
+                    at, group = (bucket, lo, hi), []
+                group.append(row)
+            yield batch(found)
+        yield batch(list(solve()))
+
+    wanted = persist(dealt.select("doc_id").distinct(), "wanted")
+    sets = persist(texts.join(_side(wanted), "doc_id", "left_semi").mapInArrow(make, "doc_id long, set binary").where(F.octet_length("set") > 0), "sets")
+    rows = dealt.join(sets, "doc_id").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return rows.select("bucket", "a", "b", "doc_id", "component", "mine", "set").mapInArrow(run, "u long, v long").distinct()
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -188,18 +282,21 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = texts.join(_side(wanted), "doc_id").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
 
     def run(batches):
-        key, held = None, None
-        for b in batches:
+        key, held = None, []
+        for b in slices(batches):
             u, v = [], []
             for hub, block, kind, doc, t in zip(*(column_of(b, c).to_pylist() for c in ("hub", "block", "kind", "doc_id", "text")), strict=True):
                 if kind == 0:
                     if key != (hub, block):
-                        key, held = (hub, block), shingle_set(words_of(t))
+                        key, held = (hub, block), []
+                    held.append(shingle_set(words_of(t)))
                     continue
                 s = shingle_set(words_of(t))
-                both = len(np.intersect1d(held, s, assume_unique=True))
-                if 100 * both >= PERCENT * (len(held) + len(s) - both):
-                    u.append(hub), v.append(doc)
+                for h in held:
+                    both = len(np.intersect1d(h, s, assume_unique=True))
+                    if both and 100 * both >= PERCENT * (len(h) + len(s) - both):
+                        u.append(hub), v.append(doc)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return rows.select("hub", "block", "kind", "doc_id", "text").mapInArrow(run, "u long, v long")
@@ -244,7 +341,6 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    small_batches(docs.sparkSession)
     texts = with_text(docs, id_col, text_col)
     all_rows = persist(describe(texts), "sets")
     classes = all_rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -253,27 +349,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = persist(star_pairs(members), "pairs")
     best = persist(pairs.groupBy("v").agg(F.min_by("u", F.struct("differ", "u")).alias("u")).select("u", "v"), "best")
-    parts = persist(components(persist(verify(best, texts), "links")), "parts")
-    # all pairs of a bucket of two are tried; others can hold links between members that are no hubs
-    crowd = persist(crowded(members), "crowded")
-    pairs = _placed(pairs, parts).where("c_u <> c_v").select("u", "v")
-    tried, done = best, 0
-    while True:
-        fresh = persist(pairs.join(_side(tried), ["u", "v"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            found = persist(verify(fresh, texts), "links")
-            if not found.isEmpty():
-                parts = _merged(parts, found)
-            tried = tried.unionByName(fresh)
-        # buckets of one component are settled, and so are those whose members have all been hubs
-        placed = crowd.drop("component").join(_side(parts), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.max("turn").alias("last"))
-        several = several.where((F.col("c") != F.col("d")) & (F.col("last") >= done)).select("bucket")
-        crowd = persist(placed.join(several, "bucket", "left_semi"), "crowded")
-        if crowd.isEmpty():
-            break
-        begin, done = done, GROW * max(done, HUBS)
-        pairs = persist(turn_pairs(crowd, begin, done), "pairs")
+    links = persist(verify(best, texts), "links")
+    # rows of one doc_id with different texts: their classes belong together
+    several = all_rows.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("doc_id")
+    several = persist(several, "several")
+    if not several.isEmpty():
+        of = all_rows.join(_side(several), "doc_id", "left_semi").select("doc_id", "same").distinct().join(classes, "same").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        links = links.unionByName(of.where("u <> v"))
+    parts = persist(components(links), "parts")
+    left = _placed(pairs, parts).where("c_u <> c_v").select("u", "v").join(_side(best), ["u", "v"], "left_anti")
+    parts = _merged(parts, persist(verify(persist(left, "left"), texts), "links"))
+    parts = _merged(parts, persist(links_between(persist(unsettled(members, parts), "dealt"), texts), "links"))
 
     by_rep = parts.withColumnRenamed("doc_id", "rep")
     of_class = persist(classes.join(by_rep, "rep", "left").select("same", "copies", F.coalesce("component", "rep").alias("component")), "classes")

@@ -160,19 +160,107 @@ def test_copies_that_only_meet_in_their_original(spark):
     assert {r.doc_id: r.component_id for r in got} == part
 
 
-def test_every_pair_of_a_bucket_is_tried(spark, monkeypatch):
-    df = spark.createDataFrame(copies_of(random.Random(12), 90, 5), "doc_id long, text string")
-    rows = minhash.describe(df).collect()
-    want = {(a.doc_id, b.doc_id) for a in rows for b in rows if a.doc_id < b.doc_id and set(a.bands) & set(b.bands) and sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in ((a.s1, b.s1), (a.s2, b.s2))) <= minhash.SKETCH_DIFFERS}
-    tried = []
-
-    def none_links(pairs, texts):
-        tried.extend((r.u, r.v) for r in pairs.collect())
-        return pairs.where("false").select("u", "v")
-
-    monkeypatch.setattr(minhash, "verify", none_links)
-    assert minhash.near_duplicates(df).where("kept").count() == 91
-    assert len(want) > 1000 and set(tried) == want and len(tried) == len(want)
+def components_of(rows):
+    """The component of each id by comparing all pairs of sets."""
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets[d] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    ids, part = sorted(sets), {d: d for d in sets}
+    names = {g: k for k, g in enumerate({g for s in sets.values() for g in s})}
+    owner = [[names[g] for g in sets[d]] for d in ids]
+    has = np.zeros((len(ids), len(names)), np.float32)
+    for k, o in enumerate(owner):
+        has[k, o] = 1
+    both, n = has @ has.T, has.sum(1)
+    near = (100 * both >= 75 * (n[:, None] + n[None, :] - both)) & (both > 0)
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        old, new = max(part[ids[i]], part[ids[j]]), min(part[ids[i]], part[ids[j]])
+        if old != new:
+            part = {d: new if c == old else c for d, c in part.items()}
+    return part
+
+
+def template_corpus(rng, n):
+    """Texts of one 400-word template with seven words of their own each, and a near copy of each by ten more changes."""
+    base, rows = prose(rng, 400).split(), []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(len(w)), 7):
+            w[at] = f"own{k}x{at}"
+        rows.append(" ".join(w))
+        for at in rng.sample(range(len(w)), 10):
+            w[at] = f"copy{k}x{at}"
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_one_template_many_texts(spark):
+    """Buckets of many texts that mostly aren't linked: every component is found all the same."""
+    rows = template_corpus(random.Random(14), 300)
+    want = components_of(rows)
+    assert 2 < len(set(want.values())) < 400
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_blocks_of_a_crowded_bucket(spark, monkeypatch):
+    """Blocks of a few members each give the same components."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "WEIGHT", 5000)
+    rng = random.Random(15)
+    rows = template_corpus(rng, 40) + [(1000 + d, t) for d, t in copies_of(rng, 120, 5)] + [(2000 + d, t) for d, t in copies_of(rng, 60, 1)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_of(rows)
+
+
+def test_chains_and_small_sets(spark):
+    rng, rows = random.Random(16), []
+    for c in range(4):
+        w = prose(rng, 120).split()
+        for k in range(40):  # each link of a chain changes one word more
+            rows.append((c * 100 + k, " ".join(w)))
+            w[(k * 31) % 120] = f"step{c}x{k}"
+    for c in range(60):
+        w = prose(rng, rng.randint(5, 24)).split()
+        rows.append((1000 + 3 * c, " ".join(w)))
+        rows.append((1001 + 3 * c, " ".join(w[:-1])))
+        rows.append((1002 + 3 * c, " ".join([*w, "more"])))
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_of(rows)
+
+
+def test_linked_sets_of_a_block():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(120, 200)], rng.integers(0, 1 << 60, rng.integers(0, 40)).astype(np.uint64)])) for _ in range(12)]
+        names, sides = rng.integers(0, 9, 12).tolist(), rng.integers(0, 2, 12).tolist()
+        for side in (sides, [0] * 12):
+            part = {n: n for n in names}
+            for i in range(12):
+                for j in range(12):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if (len(set(side)) == 1 or side[i] != side[j]) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                        old, new = max(part[names[i]], part[names[j]]), min(part[names[i]], part[names[j]])
+                        part = {n: new if c == old else c for n, c in part.items()}
+            got = {n: n for n in names}
+            for i, j in minhash.linked(sets, names, side, chunk=64):
+                old, new = max(got[names[i]], got[names[j]]), min(got[names[i]], got[names[j]])
+                assert old != new  # a forest
+                got = {n: new if c == old else c for n, c in got.items()}
+            assert got == part
+
+
+def test_one_doc_id_with_different_texts(spark):
+    """A link of any of its texts is a link of the doc_id."""
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (5, a + " end"), (5, b), (5, b), (7, b + " end"), (9, c), (3, c), (9, a)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 3: 1}
 
 
 def test_substitutions_are_tolerated(spark):
