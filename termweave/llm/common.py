@@ -14,10 +14,12 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in tests on one machine, a temporary folder takes its place.
+    Only where the setting is missing and Spark runs in this process, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='termweave-')}")
         base = _OWN[0]
@@ -49,9 +51,12 @@ def drop_table(df: DataFrame) -> None:
     drop_path(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds at once: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 1000):
+    """The batches in parts of at most so many rows: bounds what a Python worker turns into objects at once. (Spark bounds
+    the bytes of a batch itself, by spark.sql.execution.arrow.maxBytesPerBatch.)"""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

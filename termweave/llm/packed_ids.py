@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import codec, kind_of
-from .common import column_of, fresh_path, small_batches, with_text
+from .common import column_of, fresh_path, slices, with_text
 
 MAGIC, VERSION, BLOCK = b"TWPI", 1, 8192
 #: Stands for a missing doc_id.
@@ -130,7 +130,6 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     The list has one row per shard. Documents are dealt by ranges of doc_id, so that shards follow each other in order.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder, kind = folder or fresh_path(spark, "packed-ids"), kind_of(tokenizer)
     bits = bits_for(codec(tokenizer, kind, "driver").tok.get_vocab_size())
 
@@ -139,7 +138,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
         part, writer, sink = TaskContext.get().partitionId(), None, None
         c = codec(tokenizer, kind, "ids")
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             if writer is None:
@@ -170,7 +169,7 @@ def read_shards(shards: DataFrame, docs_at_once: int = 256) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for path, start in zip(column_of(b, "path").to_pylist(), column_of(b, "start").to_pylist(), strict=True):
                 files, base = pafs.FileSystem.from_uri(path)
                 with files.open_input_file(base) as f:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, small_batches, with_text
+from .common import column_of, slices, with_text
 from .text_stats import MORE, stats
 
 MAX_TRAIN = 20_000
@@ -88,7 +88,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int
 
 
 def _features(batches, doc_id: bool = True):
-    for b in batches:
+    for b in slices(batches):
         rows = np.array([stats(t)[1] for t in column_of(b, "text").to_pylist()], np.float64).reshape(-1, len(MORE))
         yield b, rows
 
@@ -121,7 +121,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    small_batches(docs.sparkSession)
     model = train(docs, labels, label, most)
 
     def run(batches):
@@ -135,7 +134,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
     """The rows that the classifier doesn't reject, with all their columns: decided where each row lies, no join."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = train(docs, labels, label, most)
 
     @F.pandas_udf("double")

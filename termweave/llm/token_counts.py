@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import codec, kind_of
-from .common import column_of, small_batches, with_text
+from .common import column_of, slices, with_text
 
 #: At most so many pre-tokens are broadcast, of at most so many characters each: a proven bound of a few MB.
 FREQUENT, LONGEST = 30_000, 32
@@ -37,7 +37,7 @@ def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT) ->
 
     def count(batches):
         c, seen = codec(tokenizer, kind, "count"), Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in column_of(b, "text").to_pylist():
                 seen.update(c.split(t) or ())
             if len(seen) > HELD:
@@ -56,7 +56,6 @@ def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT) ->
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     kind, texts = kind_of(tokenizer), with_text(docs, id_col, text_col)
     table = spark.sparkContext.broadcast(frequent_lengths(texts, tokenizer))
 
@@ -66,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             words, lengths = table.value
             c.pinned = dict(zip(words.decode().split("\0"), lengths, strict=True))
             c.cache = c.cache | c.pinned
-        for b in batches:
+        for b in slices(batches):
             n = c.counts(column_of(b, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

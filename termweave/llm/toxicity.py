@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, small_batches, with_text
+from .common import column_of, slices, with_text
 from .quality_gbdt import held_out, training_ids
 
 MAX_TRAIN, FEATURES = 8_000, 4_096
@@ -62,7 +62,7 @@ def _chosen(rows: DataFrame, size: int) -> list[tuple[str, float]]:
 
     def run(batches):
         seen: dict[str, list[int]] = {}
-        for b in batches:
+        for b in slices(batches):
             for y, t in zip(column_of(b, "y").to_pylist(), column_of(b, "text").to_pylist(), strict=True):
                 for f in {f for w in set(re.findall(r"[^\W\d_]+", t.lower())) for f in word_features(w)}:
                     seen.setdefault(f, [0, 0])[y >= 0.5] += 1
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     number = {f: i for i, (f, _) in enumerate(chosen)}
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             bags = [[sorted({number[f] for w in set(words) for f in word_features(w) if f in number}) for _, _, words in sentences(t)] for t in column_of(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "y"), pa.array([x or [[]] for x in bags], pa.list_(pa.list_(pa.int32())))], ["doc_id", "y", "bag"])
 
@@ -175,12 +175,11 @@ class Scorer:
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences and the offending sentences (start, end, score) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, label, most))
 
     def run(batches):
         s = Scorer(*model.value)
-        for b in batches:
+        for b in slices(batches):
             got = [s.text(t) for t in column_of(b, "text").to_pylist()]
             spans = pa.array([[{"start": x, "end": y, "score": z} for x, y, z in hot] for _, _, hot in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array([x for x, _, _ in got], pa.float64()), pa.array([n for _, n, _ in got], pa.int32()), spans], ["doc_id", "score", "n_sentences", "offending"])
