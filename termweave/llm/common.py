@@ -31,11 +31,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, name: str, sort_by: tuple[str, ...] = ()) -> DataFrame:
+def persist(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +46,6 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by ``persist``."""
-    drop_path(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
-
-
 def slices(batches, rows: int = 1000):
     """The batches in parts of at most so many rows: bounds what a Python worker turns into objects at once. (Spark bounds
     the bytes of a batch itself, by spark.sql.execution.arrow.maxBytesPerBatch.)"""

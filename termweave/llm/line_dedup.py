@@ -1,27 +1,33 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents go through in batches of falling doc_id. A batch's keys (128-bit hashes of lines, with the number of documents
-and the largest doc_id holding each) are merge-anti-joined with the keys that are settled already, and the rest becomes
-a sorted run. When a level has `fanout` runs they are compacted: equal keys add up, keys found in enough documents are
-settled (with batches in falling order, the largest doc_id is known by then), the others form one run of the next level.
-A last compaction merges all levels. Runs are written tables in the shared folder.
+and the largest doc_id holding each) are merge-anti-joined with all runs: a key that no run holds is new and is added with
+its largest doc_id, which no later batch can raise; a key that some run holds is added as a further count only. So each key
+stands with a doc_id in one run. When a level has `fanout` runs they are compacted into one of the next level; a last
+compaction merges all levels. Runs are tables in the shared folder, bucketed and sorted by key, so that the joins of later
+batches don't shuffle them again.
 
 Defined results: null or empty text is one empty line; repeated rows of a doc_id count as one document, and all of them
 keep a line whose largest doc_id is theirs; a row without doc_id keeps all its lines and doesn't count; a key repeated within a document counts once and either keeps or
-loses all its lines there; an empty table gives an empty result; other columns are ignored.
+loses all its lines there; a very long text is as many rows as it has long lines, and only its own lines are put together
+again; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, persist, with_text
+from .common import drop_path, fresh_path, persist, with_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 #: A key held by this share of all lines or more is heavy: at most 1 / share keys are, so that they can be broadcast.
 HEAVY = 1 / 4000
+#: So many keys (of 16 bytes, with a doc_id) are broadcast, after counting them; beyond that the join shuffles.
+BROADCAST_LINES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -31,21 +37,41 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (line, n_docs, max_doc)."""
+    """Levelled sorted runs of (line, n_docs, max_doc): max_doc is null where an older run holds the key."""
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = []
-        self.settled: list[DataFrame] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
-    def add(self, lines: DataFrame) -> None:
-        """lines: (line, doc_id) of this batch; all rows of a doc_id are in one batch."""
-        run = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        for done in self.settled:
-            run = run.join(done.select("line").hint("merge"), "line", "left_anti")
-        self._put(0, persist(run, "line-run", sort_by=("line",)))
+    def runs(self) -> list[str]:
+        """The names of all runs, oldest first."""
+        return [r for level in reversed(self.levels) for r in level]
+
+    def table(self, run: str) -> DataFrame:
+        return self.spark.table(run)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = fresh_path(self.spark, "line-run")
+        rows.write.format("parquet").bucketBy(self.buckets, "line").sortBy("line").option("path", self.paths[name]).saveAsTable(name)
+        return name
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, self.paths.pop(name))
+
+    def add(self, lines: DataFrame) -> None:
+        """lines: (line, doc_id) of this batch; all rows of a doc_id are in one batch, after those of larger doc_ids."""
+        own = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        for run in self.runs():
+            held = self.table(run).where(F.col("max_doc").isNotNull()).select("line", F.lit(True).alias("held"))
+            own = own.join(held.hint("merge"), "line", "left").select("line", "n_docs", F.when(F.col("held").isNull(), F.col("max_doc")).alias("max_doc"))
+        self._put(0, self._write(own))
+
+    def _put(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -53,54 +79,53 @@ class LineRuns:
             runs, self.levels[level] = self.levels[level], []
             self._put(level + 1, self._compact(runs))
 
-    def _compact(self, runs: list[DataFrame]) -> DataFrame:
-        merged = runs[0]
-        for r in runs[1:]:
-            merged = merged.unionByName(r)
-        both = persist(merged.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")), "line-run", sort_by=("line",))
-        for r in runs:
-            drop_table(r)
-        self.settled.append(persist(both.where(F.col("n_docs") >= self.min_docs), "settled-run"))
-        return both.where(F.col("n_docs") < self.min_docs)
+    def _compact(self, runs: list[str]) -> str:
+        merged = self._write(self._merged(runs))
+        self.drop(*runs)
+        return merged
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        # one scan of all files: a union of bucketed scans may be taken for bucketed itself when it no longer is
+        every = self.spark.read.schema("line binary, n_docs long, max_doc long").parquet(*[self.paths[r] for r in runs])
+        return every.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     def finish(self) -> DataFrame:
-        """Compact all levels; every key found in at least min_docs documents, once, with counts up to its settling."""
-        rest = [r for level in self.levels for r in level]
+        """Merge all levels: line, n_docs, max_doc of every key found in at least min_docs documents. The runs go."""
+        runs = self.runs()
+        often = persist(self._merged(runs).where(F.col("n_docs") >= self.min_docs), "often")
+        self.drop(*runs)
         self.levels = []
-        if len(rest) > 1:
-            self._compact(rest)
-        elif rest:
-            self.settled.append(rest[0].where(F.col("n_docs") >= self.min_docs))
-        out = self.settled[0]
-        for s in self.settled[1:]:
-            out = out.unionByName(s)
-        return out
+        return often
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, text_hash, hashes: for each line of a text its key's hash, null for keys that are too short."""
-    key = lambda line: F.when(F.length(line_key(line)) >= min_chars, F.md5(line_key(line)))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(F.split("text", "\n", -1), key).alias("hashes"))
+    """doc_id, text_hash, pos, line (16 bytes): every line of a text whose key is long enough, by its key's hash."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
+    each = split.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= min_chars)
+    keyed = each.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
+    return keyed.select("doc_id", "text_hash", "pos", F.unhex(F.md5("key")).alias("line"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 5, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """doc_id, text, kept_text, n_lines, n_dropped for every row, and the columns named in extra as a struct f0, f1, ...
     (so that no name can clash)."""
     spark, texts = docs.sparkSession, with_text(docs, id_col, text_col)
     bounds = sorted(set(texts.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
     batch = sum((F.when(F.col("doc_id") < b, 1).otherwise(0) for b in bounds), F.lit(0))
-    hashed = persist(hashed_lines(texts, min_chars).where(F.exists("hashes", lambda h: h.isNotNull())).withColumn("batch", batch), "lines")
+    hashed = persist(hashed_lines(texts.where(F.col("doc_id").isNotNull()), min_chars).withColumn("batch", batch), "lines")
     runs = LineRuns(spark, min_docs)
     for k in range(len(bounds) + 1):
-        each = hashed.where(F.col("batch") == k).select("doc_id", F.explode(F.array_distinct("hashes")).alias("line"))
-        runs.add(each.where(F.col("line").isNotNull()))
-    settled = persist(runs.finish(), "settled-lines")
-
-    lines = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "line")).where(F.col("line").isNotNull())
-    total = hashed.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    heavy = F.broadcast(settled.where(F.col("n_docs") >= F.lit(max(total * HEAVY, 1000))).select("line", "max_doc"))
-    light = settled.where(F.col("n_docs") < F.lit(max(total * HEAVY, 1000))).select("line", "max_doc")
-    hit = lines.join(heavy, "line").unionByName(lines.join(heavy.select("line"), "line", "left_anti").join(light, "line"))
+        runs.add(hashed.where(F.col("batch") == k).select("line", "doc_id"))
+    often = runs.finish()
+
+    lines = hashed.select("doc_id", "text_hash", "pos", "line")
+    if often.count() <= BROADCAST_LINES:
+        hit = lines.join(F.broadcast(often.select("line", "max_doc")), "line")
+    else:
+        many = F.lit(max(hashed.count() * HEAVY, 1000))
+        heavy = F.broadcast(often.where(F.col("n_docs") >= many).select("line", "max_doc"))
+        light = often.where(F.col("n_docs") < many).select("line", "max_doc")
+        hit = lines.join(heavy, "line").unionByName(lines.join(heavy.select("line"), "line", "left_anti").join(light, "line"))
     dropped = hit.where(F.col("doc_id") != F.col("max_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
     carried = [F.col(c).alias(f"_extra{k}") for k, c in enumerate(extra or [])]

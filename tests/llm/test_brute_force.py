@@ -72,7 +72,7 @@ def test_bit_packing(tmp_path, bits):
     assert packed_ids.bits_for(50257) == 16 and packed_ids.bits_for(32000) == 15
 
 
-def test_line_dedup(odd, odd_rows):
+def test_line_dedup(odd, odd_rows, monkeypatch):
     key = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
     for d, t in odd_rows:
@@ -85,11 +85,37 @@ def test_line_dedup(odd, odd_rows):
         lines = (t or "").split("\n")
         kept = [s for s in lines if key(s) not in often or often[key(s)] == d]
         want[d, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
-    got = line_dedup.dedup_lines(odd, batches=4).collect()
+    for limit in (line_dedup.BROADCAST_LINES, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+        got = line_dedup.dedup_lines(odd, batches=4).collect()
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == want
+    got = line_dedup.dedup_lines(odd).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == want
     assert sum(r.n_dropped for r in got) == 22
 
 
+def test_line_runs_level_by_level(spark, monkeypatch):
+    """Each batch meets the runs before it; runs of a level are compacted; counts stay whole, also of very common keys."""
+    rng = random.Random(18)
+    rows = [(d, f"line {rng.randrange(40)}".encode()) for d in range(300) for _ in range(4)] + [(d, b"everywhere") for d in range(300)]
+    met, add = [], line_dedup.LineRuns.add
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, lines: (met.append(len(self.runs())), add(self, lines))[1])
+    runs = line_dedup.LineRuns(spark, min_docs=7, fanout=3)
+    for lo in range(250, -1, -50):
+        batch = [r for r in rows if lo <= r[0] < lo + 50]
+        runs.add(spark.createDataFrame(batch, "doc_id long, line binary"))
+        tables = [runs.table(r).toPandas() for r in runs.runs()]
+        # a key stands with a doc_id in one run only
+        assert max(Counter(bytes(x) for t in tables for x in t[t["max_doc"].notna()]["line"]).values()) == 1
+    assert met == [0, 1, 2, 1, 2, 3]
+    holders = defaultdict(set)
+    for d, x in rows:
+        holders[x].add(d)
+    got = {bytes(r.line): (r.n_docs, r.max_doc) for r in runs.finish().collect()}
+    assert got == {x: (len(ds), max(ds)) for x, ds in holders.items() if len(ds) >= 7} and got[b"everywhere"] == (300, 299)
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'line_run%'").count()
+
+
 def test_near_duplicates(spark):
     rng = random.Random(1)
     texts = [prose(rng, rng.choice([3, 6, 20, 80, 200])) for _ in range(60)]
