@@ -41,8 +41,8 @@ SKETCH_DIFFERS = 40
 #: Sets of at most so many shingles skip the sketch: it is less sure for them.
 SMALL_SET = 24
 BLOCK = 64
-#: A block of a crowded bucket has about so many shingles at most, unless one text has more.
-WEIGHT = 500_000
+#: A block of a crowded bucket has about so many members and so many shingles at most, unless one text has more.
+CROWD, WEIGHT = 256, 500_000
 #: Classes of equal texts with this share of all rows or more are broadcast: at most 1 / HEAVY are.
 HEAVY = 1 / 2000
 #: Ids wanted for verification are broadcast up to so many, after counting; beyond that the join shuffles.
@@ -175,8 +175,8 @@ def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
     by_part = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     large = F.max(F.struct("n", "component", "w"))
     shape = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), large.alias("l")).where("parts > 1")
-    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT))
-    one = (F.col("n") <= 2 * BLOCK) & (F.col("w") <= 2 * WEIGHT)  # small buckets are one block
+    blocks = lambda n, w: F.greatest(F.ceil(n / CROWD), F.ceil(w / WEIGHT))
+    one = (F.col("n") <= CROWD) & (F.col("w") <= WEIGHT)  # small buckets are one block
     rest = F.when(one, 1).otherwise(blocks(F.col("n") - F.col("l.n"), F.col("w") - F.col("l.w")))
     bulk = F.when(one, 0).otherwise(blocks(F.col("l.n"), F.col("l.w")))
     shape = persist(shape.select("bucket", rest.cast("int").alias("rest"), bulk.cast("int").alias("bulk"), F.col("l.component").alias("largest")), "shape")

@@ -234,6 +234,7 @@ def test_one_template_many_texts(spark):
 def test_blocks_of_a_crowded_bucket(spark, monkeypatch):
     """Blocks of a few members each give the same components."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "CROWD", 9)
     monkeypatch.setattr(minhash, "WEIGHT", 5000)
     rng = random.Random(15)
     rows = template_corpus(rng, 40) + [(1000 + d, t) for d, t in copies_of(rng, 120, 5)] + [(2000 + d, t) for d, t in copies_of(rng, 60, 1)]
