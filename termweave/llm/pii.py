@@ -1,17 +1,22 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
-Base spans come from four patterns. Each distinct value found is a protected entity e. Terms (words of at least
-MIN_LETTERS letters, lower-cased) that stand near an entity in at least MIN_CONTEXTS different contexts are candidates,
-be it in one document; with document counts over the whole corpus,
-
-    ic(e) = log2(N / n(e)),  pmi(t, e) = log2(N * n(t, e) / (n(t) * n(e)))
-
-a term discloses the share pmi / ic of what there is to know about e. From REMOVE on it is removed wherever it stands,
-from GENERALISE on it is generalised (replaced by the kind of entity that it points to). Base spans always stay. Only
-DataFrame functions are used; what is shuffled are entities, contexts and word counts, never texts.
-
-Offsets are code points, the end exclusive. Defined results: null and empty texts have no spans; repeated rows get equal
-results (n(e) and n(t, e) count a doc_id once, N and n(t) count rows); an empty table gives an empty result; other columns are ignored.
+Base spans come from four patterns. What they find is protected at several levels: that a text holds any personal data, the
+kind, the value, the domain and the local part of an e-mail address, the network of an ip. A term is a word of at least MIN_LETTERS letters, lower-cased,
+outside of e-mail addresses. Counting texts over the whole corpus, N in all, n(e) with the entity, n(t) with the term and
+n(t, e) with both, an entity is worth ic(e) = log2(N / n(e)) bits, and whoever sees the term expects it with
+
+    P(e | t) = (n(t, e) + STRENGTH * n(e) / N) / (n(t) + STRENGTH),  so that  pmi(t, e) = log2(P(e | t) * N / n(e))
+
+where STRENGTH texts that only follow the base rate keep few observations from counting as evidence. A term discloses an
+entity if it gives away at least half of its bits (pmi >= ic / 2) and leaves at most GENERALISE bits to be known
+(ic - pmi = -log2 P). Where at most REMOVE bits are left it is removed wherever it stands, else generalised: replaced by
+the kind of entity that it points to. The rule is the same at every size of the corpus; with these values a term needs
+eight texts at least. Base spans always stay. Only DataFrame functions are used; texts are never shuffled with words.
+
+Offsets are code points, the end exclusive. Defined results: null and empty texts have no spans; every row counts as a text
+of its own, and repeated rows get equal results, also where one doc_id has different texts; a very long text is one set of
+words; of entities of which a term tells equally many bits it points to that of the greater kind; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +35,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
 
-MIN_LETTERS, NEAR, MIN_CONTEXTS = 4, 60, 3
-REMOVE, GENERALISE = 0.9, 0.6
-#: Candidate terms up to so many are broadcast, after counting them; beyond that the join shuffles the words.
+MIN_LETTERS = 4
+#: Bits left to be known about an entity, up to which a term is removed or generalised: probabilities of 0.71 and 1/2.
+REMOVE, GENERALISE = 0.5, 1.0
+#: So many texts at the base rate are added to what was observed of a term.
+STRENGTH = 8
+#: Terms, entities and texts up to so many are broadcast, after counting them; beyond that the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Where words are shuffled, each goes to so many places: a common word is no hot task.
+SALT = 16
 WORD = rf"\p{{L}}{{{MIN_LETTERS},}}"
 
 
@@ -94,77 +104,88 @@ def _placed(matches: Column, gaps: Column, passes) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step)["out"]).otherwise(none)
 
 
-def _of_kind(kind: str) -> Column:
-    """The spans of a kind with its name."""
-    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end")))
+def _entities(kind: str) -> Column:
+    """What the spans of a kind protect, at all levels."""
 
+    def levels(v: Column) -> Column:
+        low = F.lower(v)
+        parts = {"kind": F.lit(""), "value": low}
+        if kind == "email":
+            parts |= {"domain": F.substring_index(low, "@", -1), "local": F.substring_index(low, "@", 1)}
+        elif kind == "ip":
+            parts["network"] = F.substring_index(low, ".", 3)
+        any_ = F.struct(F.lit("any").alias("kind"), F.lit("kind").alias("level"), F.lit("").alias("value"))
+        return F.array(any_, *[F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), x.alias("value")) for level, x in parts.items()])
 
-def protected(spans: DataFrame) -> DataFrame:
-    """doc_id, text, kind, value, start, end: one row for each base span."""
-    each = F.flatten(F.array(*[_of_kind(k) for k in KINDS]))
-    return spans.select("doc_id", "text", F.explode(each).alias("s")).select("doc_id", "text", "s.*")
+    return F.flatten(F.transform(kind, lambda s: levels(s["value"])))
 
 
-def contexts(spans: DataFrame) -> DataFrame:
-    """doc_id, kind, value, context, term: the words near each protected value. spans still has the text."""
-    e = protected(spans)
-    before = F.substring("text", F.greatest(F.col("start") - NEAR, F.lit(0)) + 1, F.least(F.lit(NEAR), F.col("start")))
-    after = F.substring("text", F.col("end") + 1, F.lit(NEAR))
-    near = e.select("doc_id", "kind", "value", before.alias("before"), after.alias("after"))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    return near.select("doc_id", "kind", "value", F.xxhash64("before", "after").alias("context"), F.explode(F.array_union(words("before"), words("after"))).alias("term"))
+def _words(text: Column) -> Column:
+    """The terms of a text, once each."""
+    outside = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(WORD), F.lit(0)))
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _side(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A table to join with, and whether it is broadcast: where a count shows that it is small."""
+    few = df.count() <= BROADCAST_TERMS
+    return (F.broadcast(df) if few else df), few
 
 
-def term_counts(texts: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """term, n_t: the number of texts that hold each of the given terms.
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The given terms with n_t: the number of texts that hold them.
 
     All words are counted (partly before the shuffle) and then looked up: the work grows with the texts alone, where
     joining every word with the terms would grow with both.
     """
-    each = texts.select(F.explode(F.array_distinct(_words(F.lower("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    return each.join(F.broadcast(terms) if few else terms, "term")
-
-
-def term_places(texts: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """doc_id, start, end and the columns of terms: every place of the given terms in the texts."""
-    split = texts.withColumn("w", _words(F.col("text")))
-    side = F.broadcast(terms) if few else terms
-    hit = split.select("doc_id", "text", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", F.lower("word")).join(side, "term")
-    gaps = F.slice(F.split("text", WORD, -1), F.lit(1), F.col("pos") + 1)
-    length = lambda a: F.length(F.array_join(a, ""))
-    start = length(gaps) + length(F.slice("w", F.lit(1), F.col("pos")))
-    return hit.select("doc_id", *[c for c in terms.columns], start.alias("start"), (start + F.length("word")).alias("end"))
-
-
-def _pairs(near: DataFrame) -> DataFrame:
-    """term, kind, value, n_te, n_e of terms that stand near an entity often enough."""
-    n_e = near.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("n_e"))
-    n_te = near.groupBy("term", "kind", "value").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("context").alias("contexts"))
-    return n_te.where(F.col("contexts") >= MIN_CONTEXTS).join(n_e, ["kind", "value"])
-
-
-def _share(total: int, n_t: Column) -> Column:
-    """pmi(t, e) / ic(e)."""
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return F.when(ic > 0, F.log2(F.lit(float(total)) * F.col("n_te") / (n_t * F.col("n_e"))) / ic).otherwise(0.0)
-
-
-def candidate_terms(near: DataFrame, total: int, generalise: float) -> DataFrame:
-    """Terms that can reach the threshold: n(t) is at least the number of documents that have the term near an entity,
-    so that this number gives an upper bound on what the term discloses. Common words end here."""
-    least = near.groupBy("term").agg(F.count_distinct("doc_id").alias("n_near"))
-    return _pairs(near).join(least, "term").where(_share(total, F.col("n_near")) >= generalise).select("term").distinct()
-
-
-def disclosing(near: DataFrame, n_t: DataFrame, total: int, remove: float, generalise: float) -> DataFrame:
-    """term, kind ("removed" or "generalised"), points_to: terms over a threshold, by the entity they disclose most."""
-    both = _pairs(near).join(n_t, "term")
-    best = both.withColumn("share", _share(total, F.col("n_t"))).where(F.col("share") >= generalise).groupBy("term").agg(F.max(F.struct("share", "kind")).alias("x"))
-    return best.select("term", F.when(F.col("x.share") >= remove, "removed").otherwise("generalised").alias("kind"), F.col("x.kind").alias("points_to"))
+    each = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return each.join(_side(terms)[0], "term")
+
+
+def _posterior(n_both: Column, n_t: Column, n_e: Column, total: int) -> Column:
+    return (n_both + STRENGTH * n_e / total) / (n_t + STRENGTH)
+
+
+def disclosing(near: DataFrame, texts: DataFrame, total: int, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """term, kind ("removed" or "generalised"), points_to (the kind of the entity of which it tells the
+    most bits). near: entities and words of the texts that have entities."""
+    least, total = 2.0**-generalise, max(total, 1)
+    n_e = near.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    # an entity that isn't found often enough to be learnt can't be disclosed, by any term
+    n_e = persist(n_e.where(_posterior(F.col("n_e"), F.col("n_e"), F.col("n_e"), total) >= least), "entities")
+    most = n_e.agg(F.max("n_e")).first()[0] or 0
+    # neither can a term that stands elsewhere too often, whatever the entity: n(t, e) is at most n_near
+    bound = lambda n_t: _posterior(F.col("n_near"), n_t, F.lit(most), total) >= least
+    n_near = near.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    likely = persist(n_near.where((F.lit(most) > 0) & bound(F.col("n_near"))), "terms")
+    terms = persist(term_counts(texts, likely).where(bound(F.col("n_t"))).select("term", "n_t"), "terms")
+    pairs = near.select("entities", F.explode("words").alias("term")).join(_side(terms)[0], "term").select("term", "n_t", F.explode("entities").alias("e"))
+    pairs = pairs.join(_side(n_e)[0], "e").groupBy("term", "e", "n_t", "n_e").agg(F.count("*").alias("n_te"))
+    p = pairs.withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_e"))).withColumn("left", -F.log2(_posterior(F.col("n_te"), F.col("n_t"), F.col("n_e"), total)))
+    told = p.where((F.col("left") <= generalise) & (F.col("ic") > 0) & (F.col("ic") - F.col("left") >= F.col("ic") / 2))
+    best = told.groupBy("term").agg(F.min("left").alias("left"), F.max(F.struct(F.round(F.col("ic") - F.col("left"), 9).alias("pmi"), F.col("e.kind").alias("kind"))).alias("x"))
+    return best.select("term", F.when(F.col("left") <= remove, "removed").otherwise("generalised").alias("kind"), F.col("x.kind").alias("points_to"))
+
+
+def texts_with(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, h and the flagged terms of every text that holds some. texts: doc_id, h, text."""
+    each = texts.select("doc_id", "h", F.explode(_words(F.col("text"))).alias("term"))
+    side, few = _side(terms)
+    if not few:
+        each = each.withColumn("salt", F.pmod("h", F.lit(SALT)).cast("int"))
+        side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hit = each.join(side, ["term"] if few else ["term", "salt"]).select("doc_id", "h", F.struct("term", "kind", "points_to").alias("t"))
+    return hit.groupBy("doc_id", "h").agg(F.collect_set("t").alias("terms"))
+
+
+def term_places(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, h, kind, points_to and spans: where the flagged terms stand. Each text is split once for each of its terms."""
+    side, _ = _side(found.withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
+    own = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
+    each = own.select("doc_id", "h", "text", F.explode("terms").alias("t")).select("doc_id", "h", "text", "t.*")
+    each = each.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<!\p{L})"), "term", F.lit(r"(?!\p{L})")))
+    cut = each.withColumns({"m": F.expr("regexp_extract_all(text, pattern, 0)"), "g": F.expr("transform(split(text, pattern, -1), s -> length(s))")})
+    return cut.select("doc_id", "h", "kind", "points_to", _placed(F.col("m"), F.col("g"), lambda m: F.lit(True)).alias("spans"))
 
 
 def _joined(kind: str, spans: Column) -> Column:
@@ -173,18 +194,19 @@ def _joined(kind: str, spans: Column) -> Column:
 
 def find_personal_data(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, a column of spans for each kind in KINDS and TERM_KINDS, base_spans and spans as strings, for every row."""
-    texts = with_text(docs, id_col, text_col)
-    based = base_spans(texts)
-    near = persist(contexts(based), "contexts")
-    total = texts.count()
-    terms = persist(candidate_terms(near, total, generalise), "terms")
-    n_terms = terms.count()
-    counted = term_counts(texts, terms, n_terms <= BROADCAST_TERMS)
-    flagged = persist(disclosing(near, counted, total, remove, generalise), "flagged")
-    places = term_places(texts, flagged, flagged.count() <= BROADCAST_TERMS)
-    hits = places.distinct().groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end", F.col("points_to").alias("value"))))).alias(k) for k in TERM_KINDS])
-    found = based.drop("text").join(hits, "doc_id", "left")
-    found = found.withColumns({k: F.coalesce(k, F.array().cast(SPANS)) for k in TERM_KINDS})
+    texts = with_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    any_span = F.size(F.concat(*KINDS)) > 0
+    based = base_spans(texts).withColumn("words", F.when(any_span, _words(F.col("text"))))
+    based = persist(based.select("doc_id", "h", *KINDS, "words"), "base-spans")
+    near = based.where(F.col("words").isNotNull()).select(F.array_distinct(F.concat(*[_entities(k) for k in KINDS])).alias("entities"), "words")
+    flagged = persist(disclosing(near, texts, based.count(), remove, generalise), "flagged")
+    places = term_places(texts, persist(texts_with(texts, flagged), "texts-with-terms"))
+    one = F.explode("spans").alias("s")
+    each = places.select("doc_id", "h", "kind", "points_to", one).select("doc_id", "h", "kind", F.struct("s.start", "s.end", F.col("points_to").alias("value")).alias("s"))
+    hits = each.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("s")))).alias(k) for k in TERM_KINDS])
+    found = based.drop("words").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    outside = lambda k: F.filter(k, lambda s: ~F.exists("email", lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"])))
+    found = found.withColumns({k: F.coalesce(outside(k), F.array().cast(SPANS)) for k in TERM_KINDS})
     base = F.concat(*[_joined(k, F.col(k)) for k in KINDS])
     every = F.concat(base, *[_joined(k, F.col(k)) for k in TERM_KINDS])
     return found.select("doc_id", *KINDS, *TERM_KINDS, F.array_join(base, ",").alias("base_spans"), F.array_join(every, ",").alias("spans"))

@@ -45,7 +45,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    more = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.TERM_KINDS]
+    every = F.size(F.concat(*pii.KINDS, *pii.TERM_KINDS)).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", *more, every)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
