@@ -2,10 +2,11 @@
 
 Tier one is a compact table of frequent pre-tokens and their lengths in tokens, broadcast once. Tier two is a bounded
 cache in each Python worker for all other pre-tokens. Both only save time: every text is split and counted whole, and
-the counts are those of the tokenizers library whatever the tables hold. No pre-token is shuffled in the main pass.
+the counts are those of the tokenizers library whatever the tables hold. No pre-token is shuffled: tier one comes from one
+bounded table of each task, which are merged FAN at a time, level by level, until one is left.
 
-Defined results: null text counts as empty; empty text has 0 tokens; repeated rows give repeated results; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty; empty text has 0 tokens; a very long text is split and counted whole, by one
+task; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,30 +26,54 @@ from .common import column_of, slices, with_text
 FREQUENT, LONGEST = 30_000, 32
 #: A task that counts pre-tokens holds at most so many and then keeps the more frequent half.
 HELD = 400_000
+#: So many tables are merged at a time.
+FAN = 16
+
+
+def _packed(part: int, seen: Counter, size: int) -> pa.RecordBatch:
+    """The `size` most frequent entries as one row: words joined by NUL, and their numbers."""
+    top = heapq.nlargest(size, seen.items(), key=lambda x: (x[1], x[0]))
+    words, numbers = "\0".join(w for w, _ in top).encode(), np.array([n for _, n in top], "<i8").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([words]), pa.array([numbers])], ["part", "words", "numbers"])
+
+
+def _unpacked(words: bytes, numbers: bytes) -> dict[str, int]:
+    return dict(zip(words.decode().split("\0"), np.frombuffer(numbers, "<i8").tolist(), strict=True)) if numbers else {}
 
 
 def frequent_lengths(texts: DataFrame, tokenizer: str, size: int = FREQUENT) -> tuple[bytes, bytes]:
     """The frequent pre-tokens of all texts and their lengths: words joined by NUL, and one byte for each.
 
-    Each task counts what it reads and hands on its `size` most frequent pre-tokens.
+    Each task counts what it reads and hands on one table of its 2 * `size` most frequent pre-tokens.
     """
-    kind = kind_of(tokenizer)
+    kind, schema = kind_of(tokenizer), "part int, words binary, numbers binary"
     if kind == "whole":
         return b"", b""
 
     def count(batches):
+        from pyspark import TaskContext
+
         c, seen = codec(tokenizer, kind, "count"), Counter()
         for b in slices(batches):
             for t in column_of(b, "text").to_pylist():
                 seen.update(c.split(t) or ())
             if len(seen) > HELD:
                 seen = Counter(dict(seen.most_common(HELD // 2)))
-        fit = ((w, n) for w, n in seen.items() if len(w) <= LONGEST and "\0" not in w)
-        top = heapq.nlargest(size, fit, key=lambda x: (x[1], x[0]))
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    top = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in top.orderBy(F.desc("n"), "word").limit(size).collect()]
+        yield _packed(TaskContext.get().partitionId(), Counter({w: n for w, n in seen.items() if len(w) <= LONGEST and "\0" not in w}), 2 * size)
+
+    def merge(key, table):
+        seen = Counter()
+        for words, numbers in zip(table["words"].to_pylist(), table["numbers"].to_pylist(), strict=True):
+            seen.update(_unpacked(words, numbers))
+        return pa.Table.from_batches([_packed(key[0].as_py(), seen, 2 * size)])
+
+    tables, left = texts.select("text").mapInArrow(count, schema), texts.rdd.getNumPartitions()
+    while left > 1:
+        tables, left = tables.groupBy((F.col("part") / FAN).cast("int").alias("into")).applyInArrow(merge, schema), -(-left // FAN)
+    counted = Counter()
+    for r in tables.collect():  # one row
+        counted.update(_unpacked(bytes(r.words), bytes(r.numbers)))
+    words = [w for w, _ in heapq.nlargest(size, counted.items(), key=lambda x: (x[1], x[0]))]
     lengths = [len(ids) for ids in codec(tokenizer, kind, "driver").whole(words)]
     kept = [(w, n) for w, n in zip(words, lengths, strict=True) if n < 256]
     return "\0".join(w for w, _ in kept).encode(), bytes(n for _, n in kept)
