@@ -9,11 +9,14 @@ A shard holds one range of documents in ascending doc_id order:
     offset  uint64 for each block: its first byte in the file, then the end
     footer  n_docs, n_blocks, where the three tables start (uint64), magic
 
-All numbers are little-endian. Any id can be found from the offsets without reading what stands before it. Shards are
-written under a temporary name and renamed, so that a repeated task leaves one whole file.
+All numbers are little-endian. Any id can be found from the offsets without reading what stands before it. Each attempt of
+a task writes a file of its own name; the list of shards names the files of the attempts that succeeded, and only those
+count: nothing is renamed, which object stores can't do at once.
 
 Defined results: null text counts as empty; each document gets the end id, so an empty one has 1 id; documents of equal
-doc_id stand next to each other, those without one first; an empty table gives no shard and an empty result.
+doc_id stand next to each other, ordered by their texts, those without one first; a very long text is encoded whole, and a
+shard holds at most a block of ids besides one batch; an empty table gives no shard and an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +60,19 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=1).view(">u4").reshape(-1).astype("<u4")
 
 
+#: Names that Hadoop and pyarrow give to the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def file_system(uri: str):
+    """The file system of a path and the path in it."""
+    scheme, mark, rest = uri.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"shards can't be written to {uri}: give a folder of a store that pyarrow can reach") from e
+
+
 class ShardWriter:
     """Streams documents into one shard; holds at most a block of ids and the tables."""
 
@@ -142,21 +158,20 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             if not b.num_rows:
                 continue
             if writer is None:
-                files, base = pafs.FileSystem.from_uri(folder)
+                files, base = file_system(folder)
                 files.create_dir(base, recursive=True)
-                path, draft = f"{base}/shard-{part:06d}.twpi", f"{base}/.draft-{part:06d}-{uuid.uuid4().hex}"
-                sink = files.open_output_stream(draft)
+                name = f"shard-{part:06d}-{uuid.uuid4().hex}.twpi"
+                sink = files.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(sink, bits)
             arrays = [np.append(a, end_id).astype("<u4") for a in c.ids(column_of(b, "text").to_pylist())]
             writer.add(column_of(b, "doc_id").to_pylist(), arrays)
         if writer is not None:
             writer.close()
             sink.close()
-            files.move(draft, path)
-            row = [f"{folder}/shard-{part:06d}.twpi", part, len(writer.doc_ids), writer.total]
+            row = [f"{folder}/{name}", part, len(writer.doc_ids), writer.total]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["path", "shard", "n_docs", "n_tokens"])
 
-    ordered = with_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = with_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(run, "path string, shard long, n_docs long, n_tokens long").collect(), key=lambda r: r.shard)
     start, listed = 0, []
     for r in rows:
@@ -171,7 +186,7 @@ def read_shards(shards: DataFrame, docs_at_once: int = 256) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             for path, start in zip(column_of(b, "path").to_pylist(), column_of(b, "start").to_pylist(), strict=True):
-                files, base = pafs.FileSystem.from_uri(path)
+                files, base = file_system(path)
                 with files.open_input_file(base) as f:
                     r = ShardReader(f)
                     for lo in range(0, r.n_docs, docs_at_once):
