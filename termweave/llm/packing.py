@@ -6,7 +6,9 @@ their (nearly) full bins and give the pieces of their looser bins to an exchange
 partitions and packed again, until every bin is certified, one partition is left, or an exchange saves nothing.
 
 Defined results: null text counts as empty; with the end id an empty document has one token; only documents longer than
-a sequence are cut, the last piece may be shorter; repeated rows are packed once each; an empty table packs to nothing.
+a sequence are cut, the last piece may be shorter; a very long text is encoded whole and becomes as many rows as it has
+pieces; repeated rows are packed once each; pieces of equal length are taken by doc_id and piece; an empty table packs to
+nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,7 +124,9 @@ def _round(items: DataFrame, partitions: int, number: int, capacity: int) -> Dat
             t = t.append_column(name, pa.array(x))
         yield from t.to_batches(50_000)
 
-    keyed = items.repartition(partitions, F.xxhash64("doc_id", "piece", F.lit(number)))
+    # dealt by place in the written table: rows without doc_id or with the same one are spread like all others
+    placed = items.withColumn("_place", F.xxhash64(F.monotonically_increasing_id(), F.lit(number)))
+    keyed = placed.repartition(partitions, "_place")
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return keyed.select(*kept).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, done boolean, bins long, bound long, first boolean")
 
