@@ -302,6 +302,53 @@ def test_substitutions_are_tolerated(spark):
     assert (one.start, one.end) == (0, 20)
 
 
+def plain_leaks(docs, items):
+    """All windows and masks of all documents against all items, and the best stretch around each hit."""
+    tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    pick = lambda w, at, m: tuple(w[at + k] for k, x in enumerate(m) if x == "1")
+    out, span = {}, decontam.SPAN
+    for d, t in docs:
+        w = tokens(t)
+        for i, b in ((i, tokens(x)) for i, x in items):
+            shifts = set()
+            for m in decontam.MASKS:
+                first = {}
+                for j in range(len(b) - span, -1, -1):
+                    first[pick(b, j, m)] = j
+                shifts |= {at - first[pick(w, at, m)] for at in range(len(w) - span + 1) if pick(w, at, m) in first}
+            if decontam.SHORTEST <= len(b) < span:
+                shifts |= {at for at in range(len(w) - len(b) + 1) if w[at : at + len(b)] == b}
+            need, best = (len(b) if len(b) < span else min(decontam.NEED, int(np.ceil(len(b) * 0.7)))), 0
+            for s in shifts:
+                run = 0
+                for k in range(max(0, -s), min(len(b), len(w) - s)):
+                    run = max(run + (1 if w[s + k] == b[k] else -2), 0)
+                    best = max(best, run)
+            if shifts and best >= need:
+                out[d, i] = max(best, out.get((d, i), 0))
+    return out
+
+
+def test_leaks_against_all_windows(spark, monkeypatch):
+    rng = random.Random(19)
+    items = [(k, prose(rng, n)) for k, n in enumerate((2, 3, 4, 7, 10, 11, 12, 15, 17, 18, 25, 60))]
+    docs = []
+    for d in range(160):
+        words = items[d % len(items)][1].split()
+        lo = rng.randrange(len(words)) if d % 3 == 0 else 0
+        part = words[lo : lo + rng.randint(6, 40)] if d % 3 else words
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            part[rng.randrange(len(part))] = rng.choice(["other", *words])
+        docs.append((d, " ".join([prose(rng, rng.randint(0, 30)), *part, *(part if d % 7 == 0 else []), prose(rng, 10)])))
+    want = plain_leaks(docs, items)
+    assert {i for _, i in want} >= set(range(1, 12)) and len(want) > 60
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(a, b).collect()} == want
+    for limit in ("BROADCAST_ROWS", "BROADCAST_TOKENS", "BROADCAST_PAIRS"):
+        monkeypatch.setattr(decontam, limit, 0)
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(a, b).collect()} == want
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
@@ -327,36 +374,69 @@ def test_base_spans(spark):
     assert found == {k: base_spans(t) for k, t in rows}
 
 
+def flagged_terms(rows, remove, generalise, strength=8):
+    """Every term over the threshold, by counting all terms beside all entities."""
+    words, entities = [], []
+    for _, t in rows:
+        words.append(set(re.findall(r"[^\W\d_]{4,}", re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", " ", t).lower())))
+        own = set()
+        for span in filter(None, base_spans(t).split(",")):
+            kind, lo, hi = span.split(":")
+            v = t[int(lo) : int(hi)].lower()
+            own |= {("any", "kind", ""), (kind, "kind", ""), (kind, "value", v)}
+            own |= {("email", "domain", v.split("@")[1]), ("email", "local", v.split("@")[0])} if kind == "email" else set()
+            own |= {("ip", "network", ".".join(v.split(".")[:3]))} if kind == "ip" else set()
+        entities.append(own)
+    n, n_t, n_e = len(rows), Counter(w for ws in words for w in ws), Counter(e for es in entities for e in es)
+    both = Counter((w, e) for ws, es in zip(words, entities, strict=True) for w in ws for e in es)
+    out = {}
+    for (w, e), k in both.items():
+        left = -np.log2((k + strength * n_e[e] / n) / (n_t[w] + strength))
+        ic = np.log2(n / n_e[e])
+        if left <= generalise and ic > 0 and ic - left >= ic / 2:
+            out.setdefault(w, []).append((left, round(ic - left, 9), e[0]))
+    return {w: ("removed" if min(x)[0] <= remove else "generalised", max(y[1:] for y in x)[1]) for w, x in out.items()}
+
+
+def planted_terms(rng):
+    """Names that stand with entities: always, mostly, or hardly more often than by chance."""
+    rows = [(k, prose(rng, 40)) for k in range(300)]
+    rows += [(1000 + k, f"{prose(rng, 20)} agent Fitzroyal {prose(rng, 5)} jo.f{k}@corp.example soon {prose(rng, 20)}") for k in range(40)]
+    rows += [(2000 + k, f"{prose(rng, 20)} router Östermalm {prose(rng, 5)} 10.1.2.{k} {prose(rng, 20)}") for k in range(12)]
+    rows += [(3000 + k, f"{prose(rng, 20)} router and ÖSTERMALM off") for k in range(2)]
+    rows += [(4000 + k, f"{prose(rng, 20)} agent unrelated {prose(rng, 3)}") for k in range(60)]
+    rows += [(5000 + k, f"unrelated {prose(rng, 5)} +1 (555) 555-01{k:02}") for k in range(6)]
+    return rows + [(6000, f"{prose(rng, 20)} and Fitzroyal left; fitzroyal@x.yz has Fitzroyals")]
+
+
 def test_terms_that_reveal_are_found(spark):
-    rng = random.Random(7)
-    rows = [(k, prose(rng, 60)) for k in range(60)]
-    rows += [(100 + k, f"{prose(rng, 20)} call agent Fitzroyal {rng.choice('abc')} at jo.f@corp.example soon {prose(rng, 20)}") for k in range(6)]
-    rows += [(200, f"{prose(rng, 20)} and Fitzroyal left")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.find_personal_data(df, remove=0.99, generalise=0.6)
+    rows = planted_terms(random.Random(7))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = flagged_terms(rows, pii.REMOVE, pii.GENERALISE)
+    assert want["fitzroyal"] == ("removed", "email") and want["östermalm"][1] == "ip" and "unrelated" not in want and len(want) < 30
+    found = pii.find_personal_data(df)
     by = {r.doc_id: r for r in found.collect()}
-    at = rows[-1][1].index("Fitzroyal")
-    assert (at, at + 9, "email") in [tuple(s) for k in pii.TERM_KINDS for s in by[200][k]]
-    assert all(by[d].spans == "" for d in range(60))
-    # a plain count over all documents
-    near = sum("Fitzroyal" in t for _, t in rows[60:66])
-    n_t, n, n_e = 7, len(rows), 6
-    share = np.log2(n * near / (n_t * n_e)) / np.log2(n / n_e)
-    assert 0.6 <= share < 0.99 and by[200]["generalised"]
+    for d, t in rows:
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(t).split(",") if x.startswith("email")]
+        spans = {"removed": [], "generalised": []}
+        for m in re.finditer(r"[^\W\d_]+", t):
+            if m[0].lower() in want and not any(m.start() < q and m.end() > p for p, q in base):
+                kind, to = want[m[0].lower()]
+                spans[kind].append((m.start(), m.end(), to))
+        assert {k: [tuple(s) for s in by[d][k]] for k in spans} == spans
+        every = [*filter(None, [base_spans(t)]), *(f"{k}:{p}:{q}" for k in pii.TERM_KINDS for p, q, _ in spans[k])]
+        assert by[d].spans == ",".join(every) and by[d].base_spans == base_spans(t)
     clean = found.join(spark.createDataFrame(rows, "doc_id long, body string"), "doc_id")
-    clean = clean.select("doc_id", pii.sanitise(F.col("body"), *pii.KINDS, *pii.TERM_KINDS).alias("t")).collect()
-    said = {r.doc_id: r.t for r in clean}
-    assert "[EMAIL]" in said[100] and "corp.example" not in said[100] and "Fitzroyal" not in said[200]
+    said = {r.doc_id: r.t for r in clean.select("doc_id", pii.sanitise(F.col("body"), *pii.KINDS, *pii.TERM_KINDS).alias("t")).collect()}
+    assert "[EMAIL]" in said[1000] and "corp.example" not in said[1000] and "Fitzroyal " not in said[6000]
     assert said[3] == rows[3][1]
 
 
-def test_a_name_beside_an_entity_of_one_document_is_found(spark):
-    rng = random.Random(13)
-    rows = [(k, prose(rng, 60)) for k in range(60)]
-    rows += [(100, " ".join(f"{prose(rng, 30)} agent Fitzroyal {c} at jo.f@corp.example" for c in "abc")), (200, f"{prose(rng, 20)} and Fitzroyal left")]
-    by = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    at = rows[-1][1].index("Fitzroyal")
-    assert (at, at + 9, "email") in [tuple(s) for s in by[200]["generalised"]]
+def test_terms_beyond_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(planted_terms(random.Random(8)), "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()} == want
 
 
 def test_quality_counts(odd, odd_rows):
