@@ -179,13 +179,16 @@ def texts_with(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def term_places(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, h, kind, points_to and spans: where the flagged terms stand. Each text is split once for each of its terms."""
+    """doc_id, h, kind and s (start, end, points_to as value): where the flagged terms stand. A text is split once, by all
+    terms that it holds."""
     side, _ = _side(found.withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
-    own = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
-    each = own.select("doc_id", "h", "text", F.explode("terms").alias("t")).select("doc_id", "h", "text", "t.*")
-    each = each.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<!\p{L})"), "term", F.lit(r"(?!\p{L})")))
-    cut = each.withColumns({"m": F.expr("regexp_extract_all(text, pattern, 0)"), "g": F.expr("transform(split(text, pattern, -1), s -> length(s))")})
-    return cut.select("doc_id", "h", "kind", "points_to", _placed(F.col("m"), F.col("g"), lambda m: F.lit(True)).alias("spans"))
+    own = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    any_term = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    own = own.select("doc_id", "h", "text", "terms", any_term.alias("pattern"))
+    cut = own.withColumns({"m": F.expr("regexp_extract_all(text, pattern, 0)"), "g": F.expr("transform(split(text, pattern, -1), s -> length(s))")})
+    each = cut.select("doc_id", "h", "terms", F.explode(_placed(F.col("m"), F.col("g"), lambda m: F.lit(True))).alias("s"))
+    each = each.withColumn("t", F.get(F.filter("terms", lambda t: t["term"] == F.lower(F.col("s.value"))), F.lit(0))).where(F.col("t").isNotNull())
+    return each.select("doc_id", "h", "t.kind", F.struct("s.start", "s.end", F.col("t.points_to").alias("value")).alias("s"))
 
 
 def _joined(kind: str, spans: Column) -> Column:
@@ -201,9 +204,8 @@ def find_personal_data(docs: DataFrame, remove: float = REMOVE, generalise: floa
     near = based.where(F.col("words").isNotNull()).select(F.array_distinct(F.concat(*[_entities(k) for k in KINDS])).alias("entities"), "words")
     flagged = persist(disclosing(near, texts, based.count(), remove, generalise), "flagged")
     places = term_places(texts, persist(texts_with(texts, flagged), "texts-with-terms"))
-    one = F.explode("spans").alias("s")
-    each = places.select("doc_id", "h", "kind", "points_to", one).select("doc_id", "h", "kind", F.struct("s.start", "s.end", F.col("points_to").alias("value")).alias("s"))
-    hits = each.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("s")))).alias(k) for k in TERM_KINDS])
+    of_kind = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("s")))).alias(k)
+    hits = places.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(*[of_kind(k) for k in TERM_KINDS])
     found = based.drop("words").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     outside = lambda k: F.filter(k, lambda s: ~F.exists("email", lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"])))
     found = found.withColumns({k: F.coalesce(outside(k), F.array().cast(SPANS)) for k in TERM_KINDS})
