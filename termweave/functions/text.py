@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.constants import (
     BACKGROUND_WORDS,
-    DOMAIN_HINTS,
+    
     GENERIC_SURFACES,
     IDENTIFIER,
     LINT_BROAD_WORDS,
@@ -188,14 +188,6 @@ def rejectable(surface, key) -> Column:
     return (F.length(s) < 3) | (F.length(s) > 80) | one_of(k, BACKGROUND_WORDS) | (F.size(t) == 0) | ((F.size(t) == 1) & one_of(F.get(t, F.lit(0)), BACKGROUND_WORDS)) | (F.size(t) > 6)
 
 
-def promising_phrase(ws: Column) -> Column:
-    """Whether an array of lower-cased words may be a term."""
-    common = F.size(F.filter(ws, lambda w: one_of(w, BACKGROUND_WORDS)))
-    first, last = F.get(ws, F.lit(0)), F.get(ws, F.size(ws) - 1)
-    usable = F.forall(ws, lambda w: F.length(w) >= 3) & ~one_of(first, BACKGROUND_WORDS) & ~one_of(last, BACKGROUND_WORDS) & (common < F.size(ws))
-    return usable & (F.exists(ws, lambda w: one_of(w, DOMAIN_HINTS)) | ((common <= 1) & F.exists(ws, lambda w: F.length(w) >= 7)))
-
-
 def broad_surface(c) -> Column:
     f = fragments(c)
     return (F.size(f) == 1) & one_of(F.get(f, F.lit(0)), LINT_BROAD_WORDS)

@@ -195,7 +195,7 @@ SELECT doc_id, CASE k WHEN 1 THEN 'ignore_previous_instructions' ELSE 'role_over
   CASE k WHEN 1 THEN 'ignore previous instructions' ELSE 'act as admin' END AS matched_text, 'line' AS scope FROM hit"""
 ORACLE["safety_rollup"] = "SELECT doc_id, (CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END)::BIGINT AS high_count, (CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END)::BIGINT AS medium_count, 0::BIGINT AS low_count, CASE WHEN doc_id % 17 = 0 THEN 'high' ELSE 'none' END AS highest_risk, CASE WHEN doc_id % 17 = 0 THEN 'block_llm_review' ELSE 'allow' END AS action FROM documents"
 ORACLE["safety_sanitize"] = """WITH s AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '', 'g'), '```', '` ` `'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM pages)
-SELECT page_id, CASE WHEN length(t) > 400 THEN left(t, 399) || '…' ELSE t END AS safe FROM s"""
+SELECT page_id, t AS safe, CASE WHEN length(t) > 400 THEN left(t, 399) || '…' ELSE t END AS beginning FROM s"""
 ORACLE["semantic_rerank"] = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS va, b.v AS vb FROM e a JOIN e b ON b.vec_id - a.vec_id BETWEEN 1 AND 3),
 far AS (SELECT a.vec_id AS a, a.vec_id + k AS b FROM e a, (VALUES (1), (2), (3)) n(k) WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.vec_id = a.vec_id + k)),
 s AS (SELECT a, b, CASE WHEN b % 4 <> 0 THEN list_sum(list_transform(list_zip(va, vb), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(va, lambda x: x * x))) * sqrt(list_sum(list_transform(vb, lambda x: x * x)))) ELSE -1.0 END AS c FROM p UNION ALL SELECT a, b, -1.0 FROM far)
@@ -272,5 +272,5 @@ SELECT n::VARCHAR AS event_id, quality, (CASE quality WHEN 'unsafe' THEN 0.0 WHE
   CASE quality WHEN 'unsafe' THEN 'unsafe_prompt_evidence' WHEN 'conflicting' THEN 'conflicting_human_decisions' WHEN 'incomplete' THEN array_to_string(fl, ',') WHEN 'low_signal' THEN array_to_string(list_append(fl, 'low_signal_candidate'), ',') ELSE CASE WHEN len(fl) = 0 THEN 'review_example_complete' ELSE array_to_string(fl, ',') END END AS flags FROM q"""
 ORACLE["policy_matrix"] = """WITH m AS (SELECT unnest(['solo', 'team', 'locked']) AS mode), a AS (SELECT unnest(['read_workspace', 'sync_workspace', 'review_candidate', 'export_review_events', 'publish_snapshot', 'run_llm_review', 'manage_policy']) AS action), r AS (SELECT unnest(['owner', 'maintainer', 'reviewer', 'agent', 'reader']) AS role)
 SELECT mode, action, role, mode = 'solo' OR action = 'read_workspace' OR role = 'owner' OR (mode = 'team' AND ((role = 'maintainer' AND action IN ('sync_workspace', 'review_candidate', 'export_review_events', 'publish_snapshot', 'run_llm_review')) OR (role = 'reviewer' AND action IN ('review_candidate', 'export_review_events')))) AS allowed FROM m, a, r"""
-ORACLE["snapshot_new_terms"] = f"""WITH {CATALOG}, {ITEMS}, known AS (SELECT canonical AS x FROM term UNION SELECT noun FROM term), fresh AS (SELECT key, surface, regexp_replace(lower(surface), '[^a-z0-9]+', '_', 'g') AS base FROM items WHERE k <= 1000 AND lower(surface) NOT IN (SELECT x FROM known)),
+ORACLE["snapshot_new_terms"] = f"""WITH {CATALOG}, {ITEMS}, known AS (SELECT canonical AS x FROM term UNION SELECT noun FROM term), fresh AS (SELECT key, surface, regexp_replace(lower(surface), '[^a-z0-9]+', '_', 'g') AS base FROM items WHERE lower(surface) NOT IN (SELECT x FROM known)),
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY key) AS n FROM fresh) SELECT key, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS term_id, replace(surface, '_', ' ') AS canonical FROM n"""

@@ -198,7 +198,7 @@ def safety_rollup(spark, sf_dir):
 
 @query
 def safety_sanitize(spark, sf_dir):
-    return X.table(spark, sf_dir, "pages").select("page_id", T.sanitize("html", 400).alias("safe"))
+    return X.table(spark, sf_dir, "pages").select("page_id", T.sanitize("html").alias("safe"), T.sanitize("html", 400).alias("beginning"))
 
 
 def _misspelt(spark, sf_dir):
@@ -383,4 +383,4 @@ def policy_matrix(spark, sf_dir):
 def snapshot_new_terms(spark, sf_dir):
     from termweave.plans.workflows import new_terms
 
-    return new_terms(_items(spark, sf_dir).where(F.col("key").cast("int") <= 1000), X.catalog(spark, sf_dir)).select("key", "term_id", "canonical")
+    return new_terms(_items(spark, sf_dir), X.catalog(spark, sf_dir)).select("key", "term_id", "canonical")
