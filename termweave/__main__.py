@@ -90,8 +90,8 @@ def run(args) -> int:
         _show(versions.diff(load(args.before), load(args.after)))
     elif c == "merge":
         three = tuple(load(p, check=False) for p in (args.base, args.ours, args.theirs))
-        terms, clash = versions.merge_terms(*three)
-        _show(terms)
+        merged, clash = versions.merge(*three)
+        _show(merged.terms.drop("term_ord", "replacement_id"))
         _show(clash)
         return int(not clash.isEmpty())
     elif c == "migrations":

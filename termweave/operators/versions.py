@@ -7,17 +7,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
 from termweave.operators.nearmiss import sequence_ratio
 from termweave.operators.resolve import small
-from termweave.sources.vocabulary import Vocabulary
+from termweave.operators.tables import written
+from termweave.sources.vocabulary import REPLACEMENT_KEYS, Vocabulary
 
 TERM_FIELDS = ("canonical", "description", "scopes", "tags", "deprecated", "metadata")
 ALIAS_FIELDS = ("scopes", "case_sensitive", "deprecated", "metadata")
 SCOPE_FIELDS = ("label", "description", "parents", "metadata")
+EVIDENCE_FIELDS = ("evidence_ord", "source_path", "snippet", "kind", "start_line", "end_line", "source_id", "metadata")
 PROPOSAL_FIELDS = ("kind", "surface", "status", "candidate_term_id", "target_term_id", "confidence", "risk", "scopes", "rationale", "metadata")
 
 
@@ -42,11 +44,16 @@ def _under(a: str, b: str) -> Column:
     return F.concat(F.col(a), F.lit(":"), F.col(b))
 
 
+def _evidence_key() -> Column:
+    """What tells one piece of evidence of an owner from another."""
+    parts = ("source_path", "start_line", "end_line", "kind", "snippet")
+    return F.array_join(F.array(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), "|")
+
+
 def vocabulary_objects(v: Vocabulary) -> DataFrame:
     """Everything that a difference is about."""
     none = F.lit(None).cast("string")
-    parts = ("source_path", "start_line", "end_line", "kind", "snippet")
-    evidence = v.evidence.withColumn("ev", F.array_join(F.array(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), "|"))
+    evidence = v.evidence.withColumn("ev", _evidence_key())
     tools = v.terms.select("term_id", F.explode(F.array_distinct("tools")).alias("tool"))
     all_ = [
         objects("scope", v.scopes, F.col("scope_id"), none, SCOPE_FIELDS),
@@ -117,11 +124,16 @@ def _versions(tables: tuple[DataFrame, DataFrame, DataFrame], keys: list[str], f
     return j.withColumn("side", side(*(F.col(f"{n}.{sig}") for n in ("b", "o", "t"))))
 
 
+def _evidence_of(v: Vocabulary, kind: str) -> DataFrame:
+    """All evidence of each term or proposal (by its id) as one array."""
+    rows = v.evidence.where(F.col("owner_kind") == kind)
+    return rows.groupBy(F.col("owner_id").alias(f"{kind}_id")).agg(F.array_sort(F.collect_list(F.struct(*EVIDENCE_FIELDS))).alias("ev"))
+
+
 def term_versions(v: Vocabulary) -> DataFrame:
     """Terms with a signature of all that belongs to them."""
     al = v.aliases.groupBy("term_id").agg(F.array_sort(F.collect_list(F.struct("surface", "scopes", "case_sensitive", "deprecated", "metadata"))).alias("al"))
-    ev = v.evidence.where("owner_kind = 'term'").groupBy(F.col("owner_id").alias("term_id")).agg(F.array_sort(F.collect_list(F.struct("evidence_ord", "source_path", "snippet", "kind", "start_line", "end_line"))).alias("ev"))
-    j = v.terms.join(al, "term_id", "left").join(ev, "term_id", "left")
+    j = v.terms.join(al, "term_id", "left").join(_evidence_of(v, "term"), "term_id", "left")
     return j.withColumn("sig", F.sha2(F.to_json(F.struct("canonical", "description", "scopes", "tags", "tools", "deprecated", "metadata", "al", "ev")), 256))
 
 
@@ -206,6 +218,76 @@ def merge_scopes(base: Vocabulary, ours: Vocabulary, theirs: Vocabulary) -> tupl
     return v.where(F.col("side").isin("base", "ours", "theirs", "merge")).select("scope_id", *[c.alias(f) for f, c in cols.items()]), found
 
 
+def merge_evidence(base: Vocabulary, ours: Vocabulary, theirs: Vocabulary, owners: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Evidence of the merged terms or proposals (owners: owner_id, side), and its conflicts.
+
+    An owner taken from one side keeps that side's evidence as it is. Where both sides changed the owner, pieces are merged
+    one by one, those of the base first, then ours, then theirs; of pieces with equal keys the last counts.
+    """
+    def of(v: Vocabulary, side: str) -> DataFrame:
+        return v.evidence.where(F.col("owner_kind") == kind).join(owners.where(F.col("side") == side).select("owner_id"), "owner_id", "left_semi")
+
+    def by_key(v: Vocabulary) -> DataFrame:
+        last = of(v, "merge").groupBy("owner_id", _evidence_key().alias("ev")).agg(F.max_by(F.struct(*EVIDENCE_FIELDS), "evidence_ord").alias("x")).select("owner_id", "ev", "x.*")
+        return last.withColumn("sig", F.sha2(F.to_json(F.struct("source_id", "metadata")), 256))
+
+    whole = reduce(DataFrame.unionByName, [of(v, n) for v, n in ((base, "base"), (ours, "ours"), (theirs, "theirs"))])
+    v = _versions(tuple(by_key(x) for x in (base, ours, theirs)), ["owner_id", "ev"], EVIDENCE_FIELDS).where("side <> 'none'")
+    found = F.col("side").startswith("conflict") | (F.col("side") == "merge")
+    reason = F.when(F.col("side") == "merge", "both sides changed object differently").otherwise(F.substring("side", 11, 200))
+    conflicts = v.where(found).select(F.lit("evidence").alias("object_kind"), F.col("ev").alias("object_id"), F.lit(None).cast("string").alias("field"), reason.alias("reason"), F.to_json("b").alias("base"), F.to_json("o").alias("ours"), F.to_json("t").alias("theirs"))
+    first = F.when(F.col("b").isNotNull(), 0).when(F.col("o").isNotNull(), 1).otherwise(2)
+    order = Window.partitionBy("owner_id").orderBy(first, F.coalesce("b.evidence_ord", "o.evidence_ord", "t.evidence_ord"), "ev")
+    x = F.when(F.col("side") == "ours", F.col("o")).when(F.col("side") == "theirs", F.col("t")).otherwise(F.col("b"))
+    one = v.where(~found).select("owner_id", x.alias("x"), (F.row_number().over(order) - 1).cast("int").alias("evidence_ord"))
+    each = one.select(F.lit(kind).alias("owner_kind"), "owner_id", "evidence_ord", *[f"x.{f}" for f in EVIDENCE_FIELDS[1:]])
+    return whole.unionByName(each), conflicts
+
+
+def merge_proposals(base: Vocabulary, ours: Vocabulary, theirs: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """The merged proposals (with the side that each came from) and their conflicts."""
+    sig = lambda v: v.proposals.join(_evidence_of(v, "proposal"), "proposal_id", "left").withColumn("sig", F.sha2(F.to_json(F.struct(*PROPOSAL_FIELDS, "ev")), 256))
+    v = _versions(tuple(sig(x) for x in (base, ours, theirs)), ["proposal_id"], PROPOSAL_FIELDS)
+    meta, meta_conflicts = merge_metadata(v.where("side = 'merge'"), ["proposal_id"])
+    v = v.join(meta, "proposal_id", "left")
+    cols, conflicts = {}, []
+    for f in PROPOSAL_FIELDS:
+        b, o, t = (F.col(f"{n}.{f}") for n in ("b", "o", "t"))
+        if f == "scopes":
+            merged = merge_sequence(b, o, t)
+        elif f == "metadata":
+            merged = F.coalesce("metadata_merged", F.lit("{}"))
+        else:
+            merged, clash = merge_scalar(b, o, t)
+            conflicts.append(v.where((F.col("side") == "merge") & clash).select("proposal_id", F.lit(f).alias("field"), F.lit("both sides changed field differently").alias("reason"), b.cast("string").alias("base"), o.cast("string").alias("ours"), t.cast("string").alias("theirs")))
+        cols[f] = F.when(F.col("side") == "merge", merged).when(F.col("side") == "ours", o).when(F.col("side") == "theirs", t).otherwise(b)
+    whole = v.where(F.col("side").startswith("conflict")).select("proposal_id", F.lit(None).cast("string").alias("field"), F.substring("side", 11, 200).alias("reason"), F.to_json("b").alias("base"), F.to_json("o").alias("ours"), F.to_json("t").alias("theirs"))
+    found = reduce(DataFrame.unionByName, [whole, *conflicts, meta_conflicts]).select(F.lit("proposal").alias("object_kind"), F.col("proposal_id").alias("object_id"), "field", "reason", "base", "ours", "theirs")
+    return v.where(F.col("side").isin("base", "ours", "theirs", "merge")).select("proposal_id", "side", *[c.alias(f) for f, c in cols.items()]), found
+
+
+def merge(base: Vocabulary, ours: Vocabulary, theirs: Vocabulary) -> tuple[Vocabulary, DataFrame]:
+    """The whole merged vocabulary, and all conflicts. Its objects are ordered by their ids.
+
+    Terms and proposals are written once, as aliases and evidence are chosen by their sides.
+    """
+    three = (base, ours, theirs)
+    scopes, a = merge_scopes(*three)
+    terms, b = merge_terms(*three)
+    proposals, d = merge_proposals(*three)
+    terms, proposals = written(terms, "terms"), written(proposals, "proposals")
+    aliases, c = merge_aliases(*three, terms)
+    of_terms, e = merge_evidence(*three, terms.select(F.col("term_id").alias("owner_id"), "side"), "term")
+    of_proposals, f = merge_evidence(*three, proposals.select(F.col("proposal_id").alias("owner_id"), "side"), "proposal")
+    replaced = F.coalesce(*[F.nullif(F.trim(F.get_json_object("metadata", f"$.{k}")), F.lit("")) for k in REPLACEMENT_KEYS])
+    zero = F.lit(0)
+    merged = Vocabulary(
+        scopes.withColumn("scope_ord", zero), terms.withColumns({"term_ord": zero, "replacement_id": replaced}), aliases.withColumns({"term_ord": zero, "alias_ord": zero}),
+        of_terms.unionByName(of_proposals), proposals.withColumn("proposal_ord", zero),
+    )
+    return merged, reduce(DataFrame.unionByName, [a, b, c, d, e, f])
+
+
 def rename_warnings(base: Vocabulary, ours: Vocabulary, theirs: Vocabulary) -> DataFrame:
     """Terms renamed on one side while the other changed something else: object_id, base, ours, theirs names."""
     def with_rest(v):

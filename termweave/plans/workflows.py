@@ -57,31 +57,18 @@ def check_dictionary(v: V.Vocabulary, queries: DataFrame | None = None, base: V.
     if merge is None:
         out.append(("semantic_merge", "skipped", ""))
     else:
-        terms, clash = versions.merge_terms(*merge)
-        k = clash.count() + versions.merge_aliases(*merge, terms)[1].count() + versions.merge_scopes(*merge)[1].count()
+        k = versions.merge(*merge)[1].count()
         out.append(("semantic_merge", "failed" if k else "passed", f"{k} conflicts"))
     return out
 
 
 def write_merged(base: V.Vocabulary, ours: V.Vocabulary, theirs: V.Vocabulary, path: str) -> dict:
     """Write the merged vocabulary as one JSON document; conflicts are an error and nothing is written."""
-    terms, a = versions.merge_terms(base, ours, theirs)
-    aliases, b = versions.merge_aliases(base, ours, theirs, terms)
-    scopes, c = versions.merge_scopes(base, ours, theirs)
-    clash = a.unionByName(b).unionByName(c).orderBy("object_kind", "object_id").limit(20).collect()
+    merged, conflicts = versions.merge(base, ours, theirs)
+    clash = conflicts.orderBy("object_kind", "object_id").limit(20).collect()
     if clash:
         raise V.VocabularyError("; ".join(f"{x.object_kind} {x.object_id}: {x.reason}" for x in clash))
-    al: dict[str, list] = {}
-    for r in aliases.orderBy("term_id", "surface").collect():
-        al.setdefault(r.term_id, []).append({"surface": r.surface, "scopes": r.scopes or [], "case_sensitive": r.case_sensitive, "deprecated": r.deprecated})
-    doc = {
-        "version": 1,
-        "scopes": [{k: x for k, x in {"id": r.scope_id, "label": r.label, "description": r.description, "parents": r.parents}.items() if x} for r in scopes.orderBy("scope_id").collect()],
-        "terms": [
-            {k: x for k, x in {"id": r.term_id, "canonical": r.canonical, "description": r.description, "scopes": r.scopes, "tags": r.tags, "tools": r.tools, "deprecated": r.deprecated, "metadata": json.loads(r.metadata or "{}"), "aliases": al.get(r.term_id)}.items() if x}
-            for r in terms.orderBy("term_id").collect()
-        ],
-    }
+    doc = V.to_document(merged)
     V.from_mapping(base.spark, doc)  # a merge that breaks a rule is an error, too
     store.write_text_atomically(path, json.dumps(doc, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
     return doc

@@ -216,15 +216,15 @@ def to_document(v: Vocabulary) -> dict:
     for e in rows(v.evidence, "owner_kind", "owner_id", "evidence_ord"):
         ev.setdefault((e.pop("owner_kind"), e.pop("owner_id")), []).append(drop({k: x for k, x in e.items() if k != "evidence_ord"} | {"metadata": json.loads(e["metadata"] or "{}")}))
     al: dict[str, list] = {}
-    for a in rows(v.aliases, "term_ord", "alias_ord"):
+    for a in rows(v.aliases, "term_ord", "term_id", "alias_ord", "surface"):
         al.setdefault(a["term_id"], []).append(drop({k: a[k] for k in ("surface", "scopes")} | {k: a[k] for k in ("case_sensitive", "deprecated") if a[k]} | {"metadata": json.loads(a["metadata"] or "{}")}))
     doc = {"version": 1, "scopes": [], "terms": [], "proposals": []}
-    for s in rows(v.scopes, "scope_ord"):
+    for s in rows(v.scopes, "scope_ord", "scope_id"):
         doc["scopes"].append(drop({"id": s["scope_id"], "label": s["label"], "description": s["description"], "parents": s["parents"], "metadata": json.loads(s["metadata"] or "{}")}))
-    for t in rows(v.terms, "term_ord"):
+    for t in rows(v.terms, "term_ord", "term_id"):
         item = {"id": t["term_id"]} | {k: t[k] for k in ("canonical", "description", "scopes", "tags", "tools")} | ({"deprecated": True} if t["deprecated"] else {})
         doc["terms"].append(drop(item | {"aliases": al.get(t["term_id"], []), "evidence": ev.get(("term", t["term_id"]), []), "metadata": json.loads(t["metadata"] or "{}")}))
-    for p in rows(v.proposals, "proposal_ord"):
+    for p in rows(v.proposals, "proposal_ord", "proposal_id"):
         item = {"id": p["proposal_id"]} | {k: p[k] for k in ("kind", "surface", "status", "candidate_term_id", "target_term_id", "confidence", "risk", "scopes", "rationale")}
         doc["proposals"].append(drop(item | {"evidence": ev.get(("proposal", p["proposal_id"]), []), "metadata": json.loads(p["metadata"] or "{}")}))
     return doc

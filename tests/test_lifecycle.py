@@ -50,6 +50,33 @@ def test_merge_removed_and_changed(spark):
     assert {r.term_id for r in versions.merge_terms(b, o, b)[0].collect()} == {"a", "b"}
 
 
+def test_merge_evidence_and_proposals(spark, tmp_path):
+    piece = lambda snippet, **k: {"snippet": snippet, "kind": "positive", "source_path": "x.md", "start_line": 1, "end_line": 1} | k
+    ask = lambda pid, **k: {"id": pid, "kind": "new_term", "surface": pid} | k
+
+    def version(evidence, proposals, **term):
+        doc = changed(a=term | {"evidence": evidence})
+        return V.from_mapping(spark, doc | {"proposals": proposals}, check=False)
+
+    base = version([piece("kept"), piece("gone"), piece("noted")], [ask("p", evidence=[piece("why")]), ask("q"), ask("dropped")])
+    ours = version([piece("kept"), piece("noted"), piece("mine")], [ask("p", status="accepted", evidence=[piece("why")]), ask("q", confidence=0.5)], tags=["x", "y"])
+    theirs = version([piece("kept"), piece("gone"), piece("noted", source_id="s1"), piece("yours")], [ask("p", risk="high", evidence=[piece("why"), piece("more")]), ask("q"), ask("dropped"), ask("r")])
+    doc = workflows.write_merged(base, ours, theirs, f"{tmp_path}/m.json")
+    a = next(t for t in doc["terms"] if t["id"] == "a")
+    assert [(e["snippet"], e.get("source_id")) for e in a["evidence"]] == [("kept", None), ("noted", "s1"), ("mine", None), ("yours", None)] and a["tags"] == ["x", "y"]
+    assert [(p["id"], p["status"], p["risk"], [e["snippet"] for e in p.get("evidence", [])]) for p in doc["proposals"]] == [("p", "accepted", "high", ["why", "more"]), ("q", "pending", "medium", []), ("r", "pending", "medium", [])]
+    assert doc["proposals"][1]["confidence"] == 0.5
+    # both changed one piece, one field of a proposal, and added a different proposal of one id
+    one = version([piece("kept", source_id="1")], [ask("p", status="accepted"), ask("new", surface="n1")])
+    two = version([piece("kept", source_id="2")], [ask("p", status="rejected"), ask("new", surface="n2")])
+    _, conflicts = versions.merge(version([piece("kept")], [ask("p")]), one, two)
+    assert {(r.object_kind, r.object_id, r.field, r.reason) for r in conflicts.collect()} == {
+        ("evidence", "x.md|1|1|positive|kept", None, "both sides changed object differently"),
+        ("proposal", "p", "status", "both sides changed field differently"),
+        ("proposal", "new", None, "both sides added different objects"),
+    }
+
+
 def test_diff(three):
     got = {(r.change, r.object_kind, r.object_id, r.field) for r in versions.diff(three[0], three[2]).collect()}
     assert got == {("added", "tool", "a:t2", None), ("added", "alias", "a:uno", None), ("changed", "term", "a", "metadata"), ("changed", "term", "b", "canonical")}
