@@ -303,26 +303,32 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id, component (its smallest doc_id) of all ids in edges (u, v), by alternating large and small stars."""
+    """doc_id, component (its smallest doc_id) of all ids in edges (u, v), by alternating large and small stars.
+
+    The least neighbours of a step have at most two rows for each edge: where the count of the edges shows that they are
+    few, they are broadcast as they are made, else they are written and counted themselves.
+    """
     current = persist(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    mark, before = _mark(current), None
+    while mark[0] and mark != before:
+        side = F.broadcast if 2 * mark[0] <= BROADCAST_IDS else lambda df: _side(persist(df, "least"))
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = persist(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where(F.col("v") > F.col("u")).join(_side(low), "u").select(F.col("m").alias("u"), "v").where("u <> v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(side(low), "u").select(F.col("m").alias("u"), "v").where("u <> v")
         # small star: smaller neighbours and the node itself go to the least of them
-        least = persist(large.groupBy("v").agg(F.min("u").alias("m")), "least")
-        small = large.join(_side(least), "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v")
-        after = persist(small.distinct(), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        current = after
-        if mark == before:
-            break
-        before = mark
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(side(least), "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v")
+        current = persist(small.distinct(), "edges")
+        mark, before = _mark(current), mark
     one = current.select(F.col("v").alias("doc_id"), F.col("u").alias("component"))
     return one.unionByName(current.select(F.col("u").alias("doc_id"), F.col("u").alias("component")).distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """The count of the edges and a sum that tells whether they changed."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def _placed(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs with the components c_u and c_v of their ends."""
     for c in ("u", "v"):
