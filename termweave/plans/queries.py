@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as T
 from termweave.functions.normalize import unicode_metadata
 from termweave.operators import drift, evaluate, evidence, lint, match, nearmiss, resolve, review, safety, scout, versions
+from termweave.operators.tables import written
 from termweave.plans import fixtures as X
 from termweave.sources import vocabulary as V
 
@@ -103,7 +104,7 @@ def unicode_normalize(spark, sf_dir):
 def guard_calls(spark, sf_dir):
     o = X.order_lines(spark, sf_dir).withColumn("tool_name", F.when(F.col("text_id") % 2 == 0, F.concat(F.lit("catalog.update_"), "noun")).otherwise("catalog.delete"))
     o = o.withColumn("text", F.when(F.col("text_id") % 50 == 0, F.concat("text", F.lit("‮"))).otherwise(F.col("text")))
-    g = resolve.guard(o, X.catalog(spark, sf_dir))
+    g = resolve.guard(written(o, "guard-calls"), X.catalog(spark, sf_dir))
     return g.select("text_id", "tool_name", "status", "action", "is_allowed", "unicode_blocked")
 
 

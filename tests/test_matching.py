@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normalize import normalize, unicode_metadata
 from termweave.operators import drift, evaluate, match, resolve
+from termweave.plans import fixtures
 from termweave.sources import behaviour, vocabulary as V
 
 DOC = {
@@ -87,6 +88,22 @@ def test_guard(spark, v):
     assert got == {0: ("needs_clarification", "ask_clarification", False), 1: ("allowed", "proceed", True), 2: ("blocked", "block", False), 3: ("no_match", "proceed", True), 4: ("allowed", "proceed", True), 5: ("blocked", "block", False)}
 
 
+def test_guard_calls_of_one_id(spark):
+    """A longer match in another call's text crowds out a call's own term, but not its tool."""
+    v = V.from_mapping(spark, {"terms": [{"id": "p.ring", "canonical": "red ring", "tools": ["use.ring"]}, {"id": "p.widget", "canonical": "red widget", "tools": ["use.widget"]}]})
+    calls = spark.createDataFrame([(7, "use red ring", "use.ring"), (7, "use red widget", "use.widget"), (8, "use red ring", "use.widget"), (9, "red ring, red widget", "use.ring")], "text_id int, text string, tool_name string")
+    got = sorted((r.text_id, r.tool_name, r.status) for r in resolve.guard(calls, v).collect())
+    assert got == [(7, "use.ring", "allowed")] * 2 + [(7, "use.widget", "allowed")] * 2 + [(8, "use.widget", "blocked"), (9, "use.ring", "needs_clarification")]
+
+
+def test_order_lines_of_one_id(spark, tmp_path):
+    """Keys from 1,000,000 on reach into the next order's ids: equal texts of an id are one, different ones stay."""
+    spark.createDataFrame([(5, "red ring", "a"), (1_000_005, "red ring", "b"), (6, "red ring", "a"), (1_000_006, "hot rod", "b")], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, 1_000_005, 1), (1, 5, 1), (0, 1_000_006, 1), (1, 6, 1)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.text_id, r.noun) for r in fixtures.order_lines(spark, str(tmp_path)).collect())
+    assert got == [(10_000_051, "ring"), (10_000_061, "ring"), (10_000_061, "rod")]
+
+
 def test_random_texts_match_as_by_search(spark):
     rng = random.Random(0)
     alphabet = "ab1_ .-é"
