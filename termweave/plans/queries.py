@@ -243,7 +243,7 @@ def drift_unknown(spark, sf_dir):
 
 @query
 def drift_summary(spark, sf_dir):
-    lines, v = X.code_lines(spark, sf_dir), X.catalog(spark, sf_dir)
+    lines, v = written(X.code_lines(spark, sf_dir), "drift-lines"), X.catalog(spark, sf_dir)
     return drift.summary(lines, drift.known_occurrences(lines, v), drift.unknown_identifiers(lines, v))
 
 

@@ -166,3 +166,16 @@ def test_drift(spark):
     assert {(r.name, r.review_kind) for r in unknown.collect()} == {("authToken", "likely_alias"), ("credentialBlob", "likely_new_term"), ("issue_c", "unresolved_identifier")}
     s = drift.summary(lines, known, unknown).first()
     assert (s.known_count, s.likely_alias_count, s.likely_new_term_count, s.hidden_count) == (1, 1, 1, 1)
+
+
+def test_drift_searches_each_text_once(spark, monkeypatch):
+    v = V.from_mapping(spark, {"terms": [{"id": "auth.access_token", "canonical": "access token", "scopes": []}]})
+    rows = [(f"{k % 7}.py", k, "accessToken = some_blob") for k in range(200)] + [("0.py", 0, "accessToken = other_blob"), ("0.py", 0, "accessToken = some_blob"), ("0.py", 1, None)]
+    lines, seen = spark.createDataFrame(rows, "path string, line_number int, text string"), []
+    monkeypatch.setattr(drift, "match_all", lambda texts, *a: seen.append(texts.count()) or match.match_all(texts, *a))
+    known, unknown = drift.known_occurrences(lines, v), drift.unknown_identifiers(lines, v)
+    assert seen == [2, 3]  # texts, then names
+    s = drift.summary(lines, known, unknown).first()
+    assert (s.added_line_count, s.known_count, s.likely_new_term_count, s.likely_alias_count) == (203, 200, 201, 0)
+    assert known.where("path = '0.py' AND line_number = 0").count() == 1
+    assert drift.known_occurrences(lines, v, F.array(F.lit("x"))).count() == 200
